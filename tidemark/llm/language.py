@@ -37,8 +37,13 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 #: Letters a unit needs to get a language of its own; shorter ones neither make nor break a run.
 MIN_LETTERS = 12
+#: Nats per character that are never rejected.
+MIN_BOUND = 3.3
 #: Posterior below which a unit stays undecided.
 MIN_POSTERIOR = 0.9
+#: An n-gram is taken for a stray of wrong labels below this share of its frequency in another language; the first holds while labels are raw.
+RAW_STRAY_SHARE = 0.4
+STRAY_SHARE = 0.05
 #: Units in a row that make a language part of a document.
 MIN_RUN = 2
 _ALPHABET = 256.0
@@ -70,6 +75,7 @@ _CODE_START = re.compile(
 )
 _CODE_MARK = re.compile(r"[{}\[\]<>=$|\\^~]|\(\)|;\s*$|=>|::|->")
 _SPLIT = re.compile(r"(?<=[.!?…;。？！])[\"'”»)\]]*\s+")
+_INVISIBLE = dict.fromkeys([0x200B, 0x2060, 0x00AD, 0xFEFF])
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -89,6 +95,7 @@ def repair_bytes(text: str) -> str:
 
 def letters_of(unit: str) -> str:
     """Lower-case words of a unit, without quoted phrases, identifiers, digits and marks."""
+    unit = unit if unit.isascii() else unicodedata.normalize("NFKC", unit.translate(_INVISIBLE))
     kept = _IDENTIFIER.sub(" ", _QUOTED.sub(" ", unit))
     return _NOT_LETTER.sub(" ", kept.lower()).strip()
 
@@ -192,10 +199,8 @@ class LanguageModels:
     logs: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
     backs: list[np.ndarray] = field(default_factory=list)
-    #: Per language: mean cross-entropy of held-out units, its spread for one character, the bound of the normalised excess.
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    bound: float = 0.0
+    #: Per language: cross-entropy above which a unit is rejected.
+    bound: np.ndarray | None = None
 
     def entropies(self, units: list[str]) -> np.ndarray:
         """Nats per character of each unit under each language; inf for units without letters."""
@@ -238,8 +243,7 @@ class LanguageModels:
         # Characters of one word depend on each other, so a fraction of the length counts as evidence.
         gap = (h - low[:, None]) * np.minimum(size, 200)[:, None] * 0.25
         posterior = 1.0 / np.exp(-np.minimum(gap, 50)).sum(axis=1)
-        excess = (low - self.mean[best]) * np.sqrt(size) / self.spread[best]
-        lang = np.where(excess > self.bound, -2, best)
+        lang = np.where(low > self.bound[best], -2, best)
         lang = np.where((letters < MIN_LETTERS) | ((posterior < MIN_POSTERIOR) & (lang >= 0)), -1, lang)
         return lang, posterior
 
@@ -257,11 +261,32 @@ def _counts(units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
     return out
 
 
-def fit_models(samples: dict[str, list[str]]) -> LanguageModels:
+def _without_strays(tables: dict, share: float) -> dict:
+    """Per language the n-grams that are at least ``share`` times as frequent there as in the language that has them most.
+
+    Units under a wrong label bring whole sentences into a language's model, which then predicts them better than their own
+    language's model, as nothing else follows those contexts there. Such n-grams are rare against their own language.
+    """
+    out = {lang: [] for lang in tables}
+    for k in range(ORDER):
+        keys = np.unique(np.concatenate([t[k][0] for t in tables.values()]))
+        most = np.zeros(len(keys))
+        for t in tables.values():
+            at = np.searchsorted(keys, t[k][0])
+            most[at] = np.maximum(most[at], t[k][3] / t[0][3].sum())
+        for lang, t in tables.items():
+            keep = t[k][3] / t[0][3].sum() >= share * most[np.searchsorted(keys, t[k][0])]
+            if k:  # a suffix or context that was dropped drops its longer n-grams
+                keep &= (_lookup(out[lang][k - 1][0], t[k][2]) >= 0) & (_lookup(out[lang][k - 1][0], t[k][1]) >= 0)
+            out[lang].append(tuple(x[keep] for x in t[k]))
+    return out
+
+
+def fit_models(samples: dict[str, list[str]], stray_share: float = STRAY_SHARE) -> LanguageModels:
     """Interpolated Kneser-Ney models of the units (words as by ``letters_of``) of each language."""
     langs = [lang for lang in LANGS if samples.get(lang)]
     model = LanguageModels(langs)
-    tables = {lang: _counts(samples[lang]) for lang in langs}
+    tables = _without_strays({lang: _counts(samples[lang]) for lang in langs}, stray_share)
     model.keys, model.logs, model.contexts, model.backs = ([np.zeros(0, dtype=np.uint64)] for _ in range(4))
     lower = None
     for k in range(1, ORDER + 1):
@@ -298,20 +323,14 @@ def fit_models(samples: dict[str, list[str]]) -> LanguageModels:
     return model
 
 
-def calibrate(model: LanguageModels, held: dict[str, list[str]], quantile: float = 0.999, slack: float = 2.0) -> LanguageModels:
-    """Set the bounds of rejection from held-out units: the quantile of the normalised excess entropy, times ``slack``."""
-    mean, spread, all_excess = [], [], []
+def calibrate(model: LanguageModels, held: dict[str, list[str]], quantile: float = 0.999, slack: float = 1.15) -> LanguageModels:
+    """Set each language's bound of rejection: the quantile of held-out units' cross-entropy times ``slack``, at least MIN_BOUND."""
+    bounds = []
     for j, lang in enumerate(model.langs):
-        units = [u for u in held.get(lang, []) if len(u) >= MIN_LETTERS]
-        h = model.entropies(units)[:, j] if units else np.array([2.0])
-        size = np.array([len(u) + 2 for u in units]) if units else np.array([50.0])
-        m = float(np.median(h))
-        s = float(np.sqrt(np.mean((h - m) ** 2 * size))) or 1.0
-        mean.append(m)
-        spread.append(max(s, 1.0))
-        all_excess.append((h - m) * np.sqrt(size) / max(s, 1.0))
-    model.mean, model.spread = np.array(mean), np.array(spread)
-    model.bound = max(4.0, float(np.quantile(np.concatenate(all_excess), quantile)) * slack) if all_excess else 4.0
+        units = [u for u in held.get(lang, []) if len(u) >= 2 * MIN_LETTERS]
+        h = model.entropies(units)[:, j] if units else np.zeros(1)
+        bounds.append(max(MIN_BOUND, slack * float(np.quantile(h, quantile))))
+    model.bound = np.array(bounds)
     return model
 
 
@@ -325,26 +344,28 @@ def train_models(labelled: list[tuple[str, str]]) -> LanguageModels:
     Every fifth document is held out for calibration. Copies without accents are added, as texts may have lost them.
     """
     docs = sorted({(lang, text) for lang, text in labelled if lang in LABELS and text})
-    fit: dict[str, list[str]] = {lang: [] for lang in LANGS}
-    held: dict[str, list[str]] = {lang: [] for lang in LANGS}
-    for i, (lang, text) in enumerate(docs):
-        (held if i % 5 == 4 else fit)[lang] += [u.words for u in units_of(text) if len(u.words) >= MIN_LETTERS]
-    if not any(fit.values()):
+    units = [[u.words for u in units_of(text) if len(u.words) >= MIN_LETTERS] for _, text in docs]
+    owner = np.repeat(np.arange(len(docs)), [len(u) for u in units])
+    flat = [u for own in units for u in own]
+    label = np.array([LANGS.index(lang) for lang, _ in docs], dtype=int)
+    if not flat:
         return calibrate(LanguageModels([]), {})
 
-    def own(model: LanguageModels, units: dict[str, list[str]]) -> dict[str, list[str]]:
-        out = {}
-        for j, lang in enumerate(model.langs):
-            h = model.entropies(units[lang])
-            out[lang] = [u for u, b in zip(units[lang], h.argmin(axis=1)) if b == j]
-        return out
-
-    for _ in range(2):
-        model = fit_models(fit)
-        fit = own(model, fit)
-    plain = {lang: units + [b for u in units if (b := _bare(u)) != u and lang != "ru"] for lang, units in fit.items()}
-    model = fit_models(plain)
-    return calibrate(model, own(model, held))
+    def pick(keep: np.ndarray, given: np.ndarray) -> dict[str, list[str]]:
+        return {lang: [flat[i] for i in np.flatnonzero(keep & (given == j))] for j, lang in enumerate(LANGS)}
+
+    keep, share = np.ones(len(flat), dtype=bool), RAW_STRAY_SHARE
+    for _ in range(3):
+        model = fit_models(pick(keep, label[owner]), share)
+        said = np.array([LANGS.index(lang) for lang in model.langs])[model.entropies(flat).argmin(axis=1)]
+        # A document takes the language of most of its units; units of another language in it are left out.
+        votes = np.zeros((len(docs), len(LANGS)))
+        np.add.at(votes, (owner, said), 1)
+        label, keep, share = votes.argmax(axis=1), said == votes.argmax(axis=1)[owner], STRAY_SHARE
+    held = keep & (owner % 5 == 4)
+    fit = pick(keep & ~held, said)
+    plain = {lang: own + [b for u in own if (b := _bare(u)) != u and lang != "ru"] for lang, own in fit.items()}
+    return calibrate(fit_models(plain), pick(held, said))
 
 
 def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
