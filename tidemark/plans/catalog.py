@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import pipeline
+from tidemark.plans import aggregates, pipeline, relational
 
-FAMILIES = (pipeline,)
+FAMILIES = (pipeline, relational, aggregates)
 
 
 def catalog() -> dict:
@@ -15,3 +15,12 @@ def catalog() -> dict:
             raise ValueError(f"registered twice: {sorted(twice)}")
         out |= family.QUERIES
     return out
+
+
+def coverage() -> dict[str, tuple[str, ...]]:
+    """Inventory rows by query."""
+    out: dict = {}
+    for module in FAMILIES:
+        if hasattr(module, "family"):
+            out |= module.family.coverage
+    return out
