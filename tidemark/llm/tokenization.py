@@ -74,8 +74,11 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, hot_share: flo
     placed = seen.where("ids IS NOT NULL OR word IS NULL").select("doc_id", "pos", "ids")
     cold = seen.where("ids IS NULL AND word IS NOT NULL").select("doc_id", "pos", "word")
     placed = placed.unionByName(cold.join(vocab.where(~is_hot).select("word", "ids"), "word").select("doc_id", "pos", "ids"))
-    parts = F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))))
-    return placed.groupBy("doc_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))))
+    ordered = placed.groupBy("doc_id").agg(parts.alias("parts"))
+    # Repeated rows of a document bring a position twice, side by side.
+    fresh = F.filter("parts", lambda p, i: (i == 0) | (p["pos"] != F.get("parts", i - 1)["pos"]))
+    return ordered.select("doc_id", F.flatten(F.transform(fresh, lambda p: p["ids"])).alias("ids"))
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
