@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, pipeline, relational
+from tidemark.plans import aggregates, pipeline, relational, text, windowed
 
-FAMILIES = (pipeline, relational, aggregates)
+FAMILIES = (pipeline, relational, aggregates, windowed, text)
 
 
 def catalog() -> dict:
