@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, pipeline, relational, text, windowed
+from tidemark.plans import aggregates, graph, patterns, pipeline, relational, text, windowed
 
-FAMILIES = (pipeline, relational, aggregates, windowed, text)
+FAMILIES = (pipeline, relational, aggregates, windowed, text, graph, patterns)
 
 
 def catalog() -> dict:
