@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, graph, patterns, pipeline, relational, text, windowed
+from tidemark.plans import aggregates, board, graph, patterns, pipeline, relational, streams, text, windowed
 
-FAMILIES = (pipeline, relational, aggregates, windowed, text, graph, patterns)
+FAMILIES = (pipeline, relational, aggregates, windowed, text, graph, patterns, board, streams)
 
 
 def catalog() -> dict:
