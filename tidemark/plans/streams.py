@@ -29,14 +29,14 @@ def status_stream(spark, d):
     return run_available(feeds.status_snapshot(stream_table(spark, f"{d}/agent_feed.parquet")), "complete")
 
 
-_SESSIONS = P + """, g AS (SELECT handle, moment, CASE WHEN moment - lag(moment) OVER (PARTITION BY handle ORDER BY moment) < 1800000 THEN 0 ELSE 1 END AS o FROM (SELECT handle, moment FROM x_calls_raw WHERE handle IS NOT NULL AND moment IS NOT NULL)),
+_SESSIONS = P + """, g AS (SELECT handle, moment, CASE WHEN moment - lag(moment) OVER (PARTITION BY handle ORDER BY moment) <= 1800000 THEN 0 ELSE 1 END AS o FROM (SELECT handle, moment FROM x_calls_raw WHERE handle IS NOT NULL AND moment IS NOT NULL)),
 s AS (SELECT handle, moment, sum(o) OVER (PARTITION BY handle ORDER BY moment) AS k FROM g)
 SELECT handle, min(moment) AS first_ms, max(moment) AS last_ms, count(*) AS n FROM s GROUP BY handle, k"""
 
 
 @query("T17 W6", _SESSIONS.replace("x_calls_raw", f"(SELECT {N.sql_handle('agent')} AS handle, {N.sql_instant('ts')} AS moment FROM tool_calls)"))
 def session_stream(spark, d):
-    """Session windows over the call stream; a pause of exactly the gap ends a session here, as session windows have it."""
+    """Session windows over the call stream; a pause of exactly the gap joins, as the engine merges session windows that touch."""
     s = run_available(feeds.stream_sessions(stream_table(spark, f"{d}/tool_calls.parquet")), "complete")
     return s.select("handle", F.unix_millis("first_call").alias("first_ms"), F.unix_millis("last_call").alias("last_ms"), "n")
 
