@@ -9,10 +9,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast by hint only below this many rows (checked by counting), else it is joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder, as a lazy parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,9 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where the counted ``rows`` stay below ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    Large inputs come in enough splits and are left as they are; only a small input of a few files is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
