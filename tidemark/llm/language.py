@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import trim_unicode
-from tidemark.runtime import require_columns
+from tidemark.runtime import require_columns, spread
 
 #: Codes and English names of the eight languages.
 LABELS = {
@@ -405,7 +405,7 @@ def language_segments(docs: DataFrame, model: LanguageModels | None = None, with
             for start in range(0, len(b), 500):
                 yield _segments(b.iloc[start : start + 500], m, with_text)
 
-    return docs.select("doc_id", "text", "lang").where("text IS NOT NULL").mapInPandas(run, SEGMENTS)
+    return spread(docs.select("doc_id", "text", "lang").where("text IS NOT NULL")).mapInPandas(run, SEGMENTS)
 
 
 def _segments(b: pd.DataFrame, m: LanguageModels, with_text: bool) -> pd.DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import require_columns
+from tidemark.runtime import require_columns, spread
 
 #: Consecutive words that count as a leak.
 MIN_WORDS = 10
@@ -156,7 +156,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     require_columns(docs, ["doc_id", "text"])
     require_columns(items, ["item_id", "text"])
     spark = docs.sparkSession
-    corpus = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND length(text) >= 2")
+    corpus = spread(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL AND length(text) >= 2"))
     schema = "item_id long, doc_id long, n_words int, item_word int, doc_word int"
     tests = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     block: list[tuple[int, str]] = []
