@@ -90,4 +90,5 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_unit(a: Column, b: Column) -> Column:
     """Cosine of unit vectors clamped to 0..1; 0 where the lengths differ."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b))), F.lit(0.0))
+    d = dot(a, b)
+    return F.when(d.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))

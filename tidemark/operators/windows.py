@@ -31,12 +31,12 @@ def islands(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 
 def k_windows(rows: DataFrame, keys: list[str], ordinal: str, value: str, low: int, high: int) -> DataFrame:
-    """All windows of ``low`` to ``high`` consecutive rows inside islands: keys, first ordinal, k, window_key (values joined)."""
+    """All windows of ``low`` to ``high`` consecutive rows inside islands: keys, first ordinal, window_size, window_key (values joined)."""
     runs = islands(rows, keys, ordinal)
     w = Window.partitionBy(*keys, "island").orderBy(ordinal)
     ahead = F.collect_list(value).over(w.rowsBetween(0, high - 1))
-    sized = runs.select(*keys, ordinal, ahead.alias("_v")).withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return sized.where(F.size("_v") >= F.col("k")).select(*keys, ordinal, "k", F.array_join(F.slice("_v", 1, F.col("k")), ",").alias("window_key"))
+    sized = runs.select(*keys, ordinal, ahead.alias("_v")).withColumn("window_size", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return sized.where(F.size("_v") >= F.col("window_size")).select(*keys, ordinal, "window_size", F.array_join(F.slice("_v", 1, F.col("window_size")), ",").alias("window_key"))
 
 
 def last_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
