@@ -113,7 +113,7 @@ def tasks_with_defaults(spark, d):
     return t.select("id", F.coalesce("tier", F.lit("")).alias("tier"), F.coalesce("priority", F.lit(2)).alias("priority"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.coalesce("dependencies", F.lit("[]")).alias("dependencies"))
 
 
-@query("R29 R62", P + "SELECT DISTINCT q.file_path, q.author FROM x_feed q WHERE q.event_type = 'lock_queued' AND q.author IS NOT NULL AND q.file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x_feed n WHERE n.event_type = 'lock_acquired' AND n.author = q.author AND n.file_path = q.file_path)")
+@query("R29", P + "SELECT DISTINCT q.file_path, q.author FROM x_feed q WHERE q.event_type = 'lock_queued' AND q.author IS NOT NULL AND q.file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x_feed n WHERE n.event_type = 'lock_acquired' AND n.author = q.author AND n.file_path = q.file_path)")
 def unanswered_waiters(spark, d):
     f = V.feed(spark, d)
     got = f.where("event_type = 'lock_acquired'").select("file_path", "author")
