@@ -17,49 +17,59 @@ CLOSED = ["done", "duplicate", "cancelled", "deleted"]
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """Each key once; repeated rows are exact copies, so any of them will do. Columns that nobody asks for are not even read."""
+    return rows.dropDuplicates([key])
+
+
+def holding(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row that holds of each key: greatest by ``order``. One aggregate per column, so that unused columns are pruned."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in rest])
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "files").distinct()
+    return once(load(spark, d, "files"), "path")
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "symbols").distinct().withColumn("path", N.path_key(F.col("file_path")))
+    return once(load(spark, d, "symbols"), "id").withColumn("path", N.path_key(F.col("file_path")))
 
 
 def agents(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "agents").distinct().withColumn("handle", N.handle_key(F.col("id"))).withColumn("state", F.lower("status"))
+    return once(load(spark, d, "agents"), "id").withColumn("handle", N.handle_key(F.col("id"))).withColumn("state", F.lower("status"))
 
 
 def tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks by the row that holds; handle and lower-case state beside the raw columns."""
-    held = load(spark, d, "agent_tasks").where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct(*TASK_COLUMNS)).alias("r")).select("id", "r.*")
+    held = holding(load(spark, d, "agent_tasks").where("id IS NOT NULL").select("id", *TASK_COLUMNS), ["id"], ["updated_at", "status", "priority", "parent_id", "total_tokens"])
     return held.withColumns({"handle": N.handle_key(F.col("assigned_agent_id")), "state": F.lower("status")})
 
 
 def feed(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "agent_feed").distinct()
+    rows = once(load(spark, d, "agent_feed"), "id")
     return rows.withColumns({"at": N.instant_ms(F.col("timestamp")), "author": N.handle_key(F.col("author_id"))})
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "tool_calls").distinct()
+    rows = once(load(spark, d, "tool_calls"), "id")
     return rows.withColumns({"at": N.instant_ms(F.col("ts")), "handle": N.handle_key(F.col("agent")), "verb": N.handle_key(F.col("action"))})
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
     """Usage by the latest import of a run and agent."""
     t = load(spark, d, "task_usage").withColumn("agent_key", N.text_key(F.col("agent_id")))
-    rest = [c for c in t.columns if c not in ("run_id", "agent_key", "imported_at")]
-    held = t.groupBy("run_id", "agent_key").agg(F.max(F.struct("imported_at", *rest)).alias("r")).select("run_id", "agent_key", "r.*")
+    held = holding(t, ["run_id", "agent_key"], ["imported_at", "started_at", "total_tokens", "cost_usd"])
     who = N.handle_key(F.col("handle"))
     return held.withColumns({"began": N.instant_ms(F.col("started_at")), "ended": N.instant_ms(F.col("ended_at")), "who": who, "micros": F.round(F.col("cost_usd") * 1e6).cast("long")})
 
 
 def fills(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "blueprint_fills").distinct().withColumn("bp", N.text_key(F.col("blueprint_id")))
+    return once(load(spark, d, "blueprint_fills"), "fill_id").withColumn("bp", N.text_key(F.col("blueprint_id")))
 
 
 def blueprints(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "blueprints").distinct().withColumn("bp", N.text_key(F.col("id")))
+    return once(load(spark, d, "blueprints"), "id").withColumn("bp", N.text_key(F.col("id")))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
