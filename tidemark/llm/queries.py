@@ -67,7 +67,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     table = load(spark, d, "code_embeddings")
     near = similar_vectors(table.select("id", "vector"))
     names = table.where("id IS NOT NULL").groupBy("id").agg(F.min("target_name").alias("target_name")).select(F.col("id").alias("other_id"), "target_name")
-    return near.join(names, "other_id").select("id", "rank", "other_id", "target_name", F.round("similarity", 3).alias("similarity"))
+    return near.join(names, "other_id").select("id", "other_id", "target_name", F.round("similarity", 3).alias("similarity"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ WITH usable AS (SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE
 pairs AS (SELECT a.id, b.id AS other_id, b.target_name, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM usable a JOIN usable b ON a.id <> b.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS rank FROM pairs WHERE similarity >= 0.8)
 """
-P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, CAST(rank AS INTEGER) AS rank, other_id, target_name, round(similarity, 3) AS similarity FROM ranked WHERE rank <= 5"
+P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, other_id, target_name, round(similarity, 3) AS similarity FROM ranked WHERE rank <= 5"
 P3_FOUND = _SQL_NEAR + "SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM ranked WHERE rank <= 5"
 
 # ---- problem 7: token ids

@@ -118,23 +118,38 @@ def similar_vectors(table: DataFrame, k: int = 5, least: float = 0.8, dim: int =
     shared = spark.sparkContext.broadcast((_fit(sample @ rotation, lists), rotation))
     probes = min(probes, lists)
 
+    def near(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Home list of each row, and its probed lists row by row."""
+        sim = x @ centroids.T
+        probed = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (len(x), 1))
+        return sim.argmax(axis=1), probed.ravel()
+
+    def count(batches):
+        centroids, turn = shared.value
+        total = np.zeros((2, lists), dtype=np.int64)
+        for b in batches:
+            if len(b):
+                home, probed = near(_matrix(b["unit"], dim) @ turn, centroids)
+                total += np.stack([np.bincount(home, minlength=lists), np.bincount(probed, minlength=lists)])
+        yield pd.DataFrame({"list": np.arange(lists), "n_rows": total[0], "n_asks": total[1]})
+
     def assign(batches):
         centroids, turn = shared.value
         for b in batches:
             if not len(b):
                 continue
             x = _matrix(b["unit"], dim) @ turn
-            near = np.argpartition(-(x @ centroids.T), probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (len(x), 1))
-            home = (x @ centroids.T).argmax(axis=1)
+            home, probed = near(x, centroids)
             raw = np.array([r.tobytes() for r in x], dtype=object)
             ids = b["class_id"].to_numpy()
             yield pd.DataFrame({"list": home, "class_id": ids, "asks": False, "x": raw})
-            yield pd.DataFrame({"list": near.ravel(), "class_id": np.repeat(ids, probes), "asks": True, "x": np.repeat(raw, probes)})
+            yield pd.DataFrame({"list": probed, "class_id": np.repeat(ids, probes), "asks": True, "x": np.repeat(raw, probes)})
 
-    placed = cut(classes.select("class_id", "unit").mapInPandas(assign, "list int, class_id long, asks boolean, x binary"))
-    sizes = placed.groupBy("list", "asks").count().groupBy("list").agg(
-        F.ceil(F.max(F.when(~F.col("asks"), F.col("count"))) / TILE).alias("xs"), F.ceil(F.max(F.when(F.col("asks"), F.col("count"))) / (TILE * 2)).alias("qs")
-    ).where("xs > 0 AND qs > 0")
+    # List sizes take a second, cheap assignment, so that the replicated vectors are shuffled once and stored nowhere.
+    sizes = classes.select("unit").mapInPandas(count, "list int, n_rows long, n_asks long").groupBy("list").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_asks").alias("n_asks"))
+    blocks = lambda c, size: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / size))
+    sizes = sizes.select("list", blocks("n_rows", TILE).alias("xs"), blocks("n_asks", 2 * TILE).alias("qs"))
+    placed = classes.select("class_id", "unit").mapInPandas(assign, "list int, class_id long, asks boolean, x binary")
     # At most `lists` rows, so a broadcast of bounded size. A tile is named by its list and its two block numbers.
     tiled = placed.join(F.broadcast(sizes), "list")
     across = F.when(F.col("asks"), F.col("xs")).otherwise(F.col("qs"))
