@@ -32,9 +32,11 @@ LABELS = {
 }
 LANGS = list(LABELS)
 ORDER = 5
-#: The models are fitted on about this many labelled documents per language (by hash of the id), each up to SAMPLE_CHARS long.
+#: The models are fitted on about this many labelled documents per language (by hash of the id), none longer than SAMPLE_CHARS, and
+#: of each language on no more than SAMPLE_TOTAL characters.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 600_000
 #: Letters a unit needs to get a language of its own; shorter ones neither make nor break a run.
 MIN_LETTERS = 12
 #: Nats per character that are never rejected.
@@ -368,15 +370,24 @@ def train_models(labelled: list[tuple[str, str]]) -> LanguageModels:
     return calibrate(fit_models(plain), pick(held, said))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled documents of each language, by hash of doc_id; longer ones than ``max_chars`` are not sampled."""
+def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, total_chars: int = SAMPLE_TOTAL) -> list[tuple[str, str]]:
+    """About ``per_language`` labelled documents of each language in order of the hash of doc_id, up to ``total_chars`` of each.
+
+    Documents longer than ``max_chars`` are not sampled. The sample only fits the models; all documents are classified.
+    """
     known = docs.select("doc_id", "text", label_language(F.col("lang")).alias("known")).where(F.col("known").isNotNull() & F.length("text").between(20, max_chars))
     counts = {r["known"]: r["n"] for r in known.groupBy("known").agg(F.count("*").alias("n")).collect()}  # at most one row per language
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("known") == lang, int(min(1.0, per_language / n) * 1_000_000)).otherwise(share)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return [(r["known"], r["text"]) for r in picked.select("known", "text").toLocalIterator()]
+    out, used = [], dict.fromkeys(LANGS, 0)
+    # The sample is bounded, so it is ordered here rather than by a sort of the cluster, which would scan once more.
+    for _, _, lang, text in sorted(tuple(r) for r in picked.select(F.xxhash64("doc_id"), "doc_id", "known", "text").toLocalIterator()):
+        if used[lang] < total_chars:
+            out.append((lang, text))
+            used[lang] += len(text)
+    return out
 
 
 # ---- documents
