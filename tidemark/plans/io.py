@@ -149,13 +149,13 @@ def _code(spark, d) -> DataFrame:
 FROM (SELECT *, regexp_extract_all(text, '^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(?:(function|class)\\s+([A-Za-z_$][\\w$]*)|(?:const|let|var)\\s+([A-Za-z_$][\\w$]*)\\s*=|(def)\\s+([A-Za-z_]\\w*))', 0) AS all_, [regexp_extract(text, R, 1), regexp_extract(text, R, 2), regexp_extract(text, R, 3), regexp_extract(text, R, 4), regexp_extract(text, R, 5)] AS m FROM x_lines WHERE doc_kind = 'code') WHERE len(all_) > 0""".replace(
     "R, ", "'^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(?:(function|class)\\s+([A-Za-z_$][\\w$]*)|(?:const|let|var)\\s+([A-Za-z_$][\\w$]*)\\s*=|(def)\\s+([A-Za-z_]\\w*))', "))
 def extracted_symbols(spark, d):
-    return scan.extract_symbols(_code(spark, d)).select("path", F.col("line").cast("long").alias("line"), "kind", "name", "is_export")
+    return scan.extract_symbols(_code(spark, d)).select("path", "line", "kind", "name", "is_export")
 
 
 @query("G6", P + """SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path, line, callee FROM (SELECT doc_id, line, unnest(regexp_extract_all(text, '([A-Za-z_$][\\w$]*)\\s*\\(', 1)) AS callee FROM x_lines WHERE doc_kind = 'code')
 WHERE callee NOT IN ('if','for','while','switch','return','function','catch','def','elif','with')""")
 def extracted_calls(spark, d):
-    return scan.extract_calls(_code(spark, d)).select("path", F.col("line").cast("long").alias("line"), "callee")
+    return scan.extract_calls(_code(spark, d)).select("path", "line", "callee")
 
 
 @query("J4 M5", P + """, v AS (SELECT id, min(file_path) AS file_path, min(list_transform(vector, lambda x: CAST(x AS DOUBLE))) AS vector FROM code_embeddings WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY id),

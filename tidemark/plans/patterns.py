@@ -87,7 +87,7 @@ SELECT kind, length, string_agg(CASE WHEN low = high THEN low ELSE '?' END, ' '
 def path_templates(spark, d):
     """Least general template of the paths of each kind and length."""
     rows = V.symbols(spark, d).where("path IS NOT NULL").select("kind", F.split("path", "/").alias("parts"))
-    return templates(rows, "kind", "parts")
+    return templates(rows, "kind", "parts").withColumn("length", F.col("length").cast("long"))
 
 
 @query("F9 J22", _UNITS + """, g AS (SELECT fp3, kind, count(*) AS n FROM u WHERE fp3 IS NOT NULL GROUP BY fp3, kind)
@@ -122,7 +122,7 @@ def _groups(spark, d):
 @query("F10 F11 F12", _GROUPS + " SELECT kind, facet, fp1, members, mass, evidence, reason, members > 25 AND n_dirs > 10 AND evidence < 35 AS is_idiom FROM j WHERE members > 1")
 def gated_groups(spark, d):
     idiom = (F.col("members") > 25) & (F.col("n_dirs") > 10) & (F.col("evidence") < 35)
-    return _groups(spark, d).where("members > 1").select("kind", "facet", "fp1", "members", "mass", "evidence", "reason", idiom.alias("is_idiom"))
+    return _groups(spark, d).where("members > 1").select("kind", "facet", "fp1", "members", "mass", F.col("evidence").cast("long").alias("evidence"), "reason", idiom.alias("is_idiom"))
 
 
 @query("F17 F18 F19 M17 M18", _GROUPS + """, s AS (SELECT kind, facet, fp1, lower(replace(fp1, '_', '')) AS family, members * evidence AS score FROM j WHERE reason IS NULL),

@@ -360,13 +360,13 @@ def board_first_page(spark, d):
 @query("O8 O9", P + "SELECT id, row_number() OVER (ORDER BY lower(id), id) AS place FROM x_agents")
 def nocase_order(spark, d):
     """Directory order without letter case. The table has a fixed few hundred rows, so one window over all is fine."""
-    return V.agents(spark, d).select("id", F.row_number().over(Window.orderBy(F.lower("id"), "id")).alias("place"))
+    return V.agents(spark, d).select("id", F.row_number().over(Window.orderBy(F.lower("id"), "id")).cast("long").alias("place"))
 
 
 @query("O10 W14 R23", P + """SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY moment, id) AS place FROM x_feed WHERE event_type = 'lock_queued' AND file_path IS NOT NULL AND moment IS NOT NULL""")
 def queue_position(spark, d):
     q = V.feed(spark, d).where("event_type = 'lock_queued' AND file_path IS NOT NULL AND at IS NOT NULL")
-    return q.select("id", "file_path", F.row_number().over(Window.partitionBy("file_path").orderBy("at", "id")).alias("place"))
+    return q.select("id", "file_path", F.row_number().over(Window.partitionBy("file_path").orderBy("at", "id")).cast("long").alias("place"))
 
 
 @query("O12", P + """SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY path ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'component' THEN 1 WHEN 'function' THEN 2 ELSE 3 END, start_line, id) AS r FROM x_symbols WHERE path IS NOT NULL) WHERE r <= 40""")

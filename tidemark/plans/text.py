@@ -58,7 +58,7 @@ def literal_replace(spark, d):
 @query("X12 X13", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS n_lines, CASE WHEN strpos(text, 'column') > 0 THEN length(left(text, strpos(text, 'column') - 1)) - length(replace(left(text, strpos(text, 'column') - 1), chr(10), '')) + 1 END AS hit_line FROM documents WHERE text IS NOT NULL")
 def line_metrics(spark, d):
     at = F.instr("text", "column") - 1
-    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.line_count(F.col("text")).alias("n_lines"), F.when(at >= 0, X.line_of(F.col("text"), at)).alias("hit_line"))
+    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.line_count(F.col("text")).cast("long").alias("n_lines"), F.when(at >= 0, X.line_of(F.col("text"), at)).cast("long").alias("hit_line"))
 
 
 @query("X15", P + """SELECT doc_id, line FROM x_lines WHERE (regexp_matches(text, '''(sk-[a-zA-Z0-9_-]{24,}|ghp_[a-zA-Z0-9]{30,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35})''') OR regexp_matches(text, '"(sk-[a-zA-Z0-9_-]{24,}|ghp_[a-zA-Z0-9]{30,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35})"'))

@@ -103,7 +103,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the documents: doc_id, doc_kind, path, line (from 1), text. CR before LF belongs to the break."""
     docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "doc_kind", "path", F.posexplode(F.split("text", "\r?\n")).alias("i", "text"))
-    return docs.select("doc_id", "doc_kind", "path", (F.col("i") + 1).alias("line"), "text")
+    return docs.select("doc_id", "doc_kind", "path", (F.col("i") + 1).cast("long").alias("line"), "text")
 
 
 _TASK_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in TASK_COLUMNS)

@@ -42,8 +42,8 @@ def rank_fusion(spark, d, limit: int = 20):
     s = V.symbols(spark, d).where(F.col("path").isNotNull() & F.col("name").ilike("%cache%")).groupBy("path").agg(F.count("*").alias("n"))
     f = V.files(spark, d).where(F.col("path").ilike("%cache%"))
     # Each ranking is cut to its top first, so the window that numbers it sees few rows.
-    one = s.orderBy(F.desc("n"), "path").limit(2 * limit).select("path", F.row_number().over(Window.orderBy(F.desc("n"), "path")).alias("rank"))
-    two = f.orderBy(F.desc("lines"), "path").limit(2 * limit).select("path", F.row_number().over(Window.orderBy(F.desc("lines"), "path")).alias("rank"))
+    one = s.orderBy(F.desc("n"), "path").limit(2 * limit).select("path", F.row_number().over(Window.orderBy(F.desc("n"), "path")).cast("long").alias("rank"))
+    two = f.orderBy(F.desc("lines"), "path").limit(2 * limit).select("path", F.row_number().over(Window.orderBy(F.desc("lines"), "path")).cast("long").alias("rank"))
     fused = W.reciprocal_rank_fusion([one, two], "path").withColumn("score", F.round("score", 10))
     return fused.orderBy(F.desc("score"), "path").limit(limit)
 
@@ -98,7 +98,7 @@ def rank_unfolded(spark, d):
     """Places of tasks in their tier; folded ones (duplicates) get none."""
     t = V.tasks(spark, d).where("total_tokens IS NOT NULL AND tier IS NOT NULL")
     folded = F.col("state") == "duplicate"
-    return t.select("id", F.when(~folded, F.row_number().over(Window.partitionBy("tier", folded).orderBy(F.desc("total_tokens"), "id"))).alias("place"))
+    return t.select("id", F.when(~folded, F.row_number().over(Window.partitionBy("tier", folded).orderBy(F.desc("total_tokens"), "id"))).cast("long").alias("place"))
 
 
 @query("W16 W17 T16", P + """SELECT t.id, arg_max(f.event_type, (f.moment, f.id)) AS light, coalesce(max(f.moment) > any_value(t.updated_at), false) AS is_newer FROM x_tasks t LEFT JOIN x_feed f ON f.task_id = t.id AND f.moment IS NOT NULL GROUP BY t.id""")

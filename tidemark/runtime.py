@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+# Functions of this package travel to the executors with the tasks, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["tidemark"])
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder, as a lazy parquet scan."""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+import tidemark.runtime  # noqa: F401  lets the data source travel to workers
+
 #: Folders that a scan leaves out at any depth, and how much of a file decides about it.
 IGNORED_DIRS = ["node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".cache"]
 SNIFF_BYTES = 8000
