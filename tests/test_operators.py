@@ -20,6 +20,36 @@ def test_merge_intervals(spark):
     assert rows(got) == [("a", 0, 9, 3), ("a", 11, 12, 2), ("b", 1, 1, 1)]
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_two_level_operators_against_loops(spark, bucket):
+    rng = random.Random(bucket)
+    spans = [(rng.choice("ab"), s, s + rng.randrange(0, 9)) for s in rng.choices(range(-40, 200), k=50)] + [(None, 1, 2), ("a", None, 2)]
+    got = rows(windows.merge_intervals(spark.createDataFrame(spans, "k string, s long, e long"), ["k"], "s", "e", bucket).select("k", "s", "e"))
+    want = []
+    for k in "ab":
+        cur = None
+        for _, s, e in sorted(x for x in spans if x[0] == k and x[1] is not None):
+            if cur and s <= cur[1]:
+                cur[1] = max(cur[1], e)
+            else:
+                cur = [s, e]
+                want.append((k, cur))
+    assert got == sorted([(k, s, e) for k, (s, e) in want], key=repr)
+    ev = [(rng.choice("ab"), rng.randrange(-30, 90), i, rng.choice(["x", None, "z"])) for i in range(40)]
+    pr = [(rng.choice("abc"), rng.randrange(-40, 100), i) for i in range(40)] + [(None, 5, 98), ("a", None, 99)]
+    e, p = spark.createDataFrame(ev, "k string, t long, o long, who string"), spark.createDataFrame(pr, "k string, t long, pid long")
+
+    def last(k, t):
+        ok = [x for x in ev if k is not None and t is not None and x[0] == k and x[1] <= t]
+        return max(ok, key=lambda x: (x[1], x[2]))[3] if ok else None
+
+    def following(k, t):
+        return min((x[1] for x in ev if k is not None and t is not None and x[0] == k and x[1] >= t), default=None)
+
+    assert rows(as_of(p, e, "k", "t", "o", ["who"], bucket).select("pid", "who")) == sorted([(i, last(k, t)) for k, t, i in pr], key=repr)
+    assert rows(next_event(p, e, ["k"], "t", "n", bucket).select("pid", "n")) == sorted([(i, following(k, t)) for k, t, i in pr], key=repr)
+
+
 def test_gap_is_strict(spark):
     ev = spark.createDataFrame([("a", t, i) for i, t in enumerate([0, 119_999, 239_999, 360_000])], "k string, t long, i long")
     assert [r["session_no"] for r in windows.gap_sessions(ev, ["k"], "t", "i", 120_000).orderBy("i").collect()] == [0, 0, 1, 2]

@@ -56,7 +56,7 @@ def test_filters_reach_the_scan(spark, duck):
 
 
 def test_hot_paths_have_no_python(spark, duck):
-    for name in ("p2_found", "p2_sessions", "p5_found", "p6_found", "calls_in_windows", "span_containment", "bm25_search", "exact_buckets"):
+    for name in ("p2_found", "p2_sessions", "p5_found", "p6_found", "posts_in_windows", "span_containment", "bm25_search", "exact_buckets"):
         assert "Python" not in plan(CATALOG[name][0](spark, str(SF))) and "Pandas" not in plan(CATALOG[name][0](spark, str(SF))), name
 
 

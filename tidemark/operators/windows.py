@@ -6,14 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Union of overlapping or touching intervals per key; null ends are left out. Result: keys, start, end, n_merged."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+def _before(df: DataFrame, keys: list[str], value: Column, out: str, total) -> DataFrame:
+    """Aggregate ``total`` of ``value`` over all earlier buckets (_b) of a key, one row per key and bucket."""
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return df.groupBy(*keys, "_b").agg(total(value).alias("_v")).select(*keys, "_b", total("_v").over(earlier).alias(out))
+
+
+def merge_intervals(spans: DataFrame, keys: list[str], start: str, end: str, bucket: int = 86_400_000) -> DataFrame:
+    """Union of overlapping or touching intervals per key; null keys or ends are left out. Result: keys, start, end, n_merged.
+
+    The running maximum of ends and the count of islands are taken in two levels, within a bucket of starts and over the buckets of a key, so a
+    hot key is spread over its buckets.
+    """
     s = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    s = s.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    s = s.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("_island")
+    for k in keys:
+        s = s.where(F.col(k).isNotNull())
+    s = s.select(*keys, start, end).withColumn("_b", F.floor(F.col(start) / bucket))
+    w = Window.partitionBy(*keys, "_b").orderBy(start, end)
+    reach = s.withColumn("_in", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))).join(_before(s, keys, F.col(end), "_far", F.max), [*keys, "_b"])
+    far = F.greatest("_in", "_far")
+    marked = reach.withColumn("_new", F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0)).drop("_in", "_far")
+    # Equal intervals are peers: whichever of them opened the island, all belong to it.
+    local = marked.withColumn("_n", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = local.join(_before(marked, keys, F.col("_new"), "_past", F.sum), [*keys, "_b"]).withColumn("_island", F.col("_n") + F.coalesce("_past", F.lit(0)))
+    return placed.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("_island")
 
 
 def gap_sessions(rows: DataFrame, keys: list[str], at: str, order: str, gap: int) -> DataFrame:

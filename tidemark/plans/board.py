@@ -74,15 +74,15 @@ def learning_counters(spark, d):
     return f.groupBy(F.col("value").alias("pattern")).agg(F.count("*").alias("times"), F.max("filled_at").alias("last_seen"))
 
 
-@query("R16", P + """SELECT u.run_id, u.agent_key, count(*) AS n_commits FROM x_usage u JOIN x_feed f ON f.author = u.who AND f.event_type = 'commit' AND f.moment BETWEEN u.began AND u.ended + 3600000 WHERE u.agent_key IS NOT NULL GROUP BY u.run_id, u.agent_key""")
-def commits_in_runs(spark, d, slack_ms: int = 3_600_000):
-    """Commits of a handle inside its run window, an hour of slack at the end."""
+@query("R16", P + """SELECT u.run_id, u.agent_key, count(*) AS n_commits FROM x_usage u JOIN x_feed f ON f.author = u.who AND f.event_type = 'commit' AND f.moment BETWEEN u.began AND u.ended + 604800000 WHERE u.agent_key IS NOT NULL GROUP BY u.run_id, u.agent_key""")
+def commits_in_runs(spark, d, slack_ms: int = 604_800_000):
+    """Commits of a handle inside its run window, a week of slack at the end."""
     from tidemark.operators.joins import point_in_interval
 
     u = V.usage(spark, d).where("agent_key IS NOT NULL AND who IS NOT NULL AND began IS NOT NULL AND ended IS NOT NULL")
     spans = u.select("run_id", "agent_key", F.col("who").alias("author"), "began", (F.col("ended") + slack_ms).alias("until"))
     commits = V.feed(spark, d).where("event_type = 'commit' AND author IS NOT NULL AND at IS NOT NULL").select("author", "at")
-    return point_in_interval(commits, spans, "author", "at", "began", "until", 6 * slack_ms).groupBy("run_id", "agent_key").agg(F.count("*").alias("n_commits"))
+    return point_in_interval(commits, spans, "author", "at", "began", "until", slack_ms).groupBy("run_id", "agent_key").agg(F.count("*").alias("n_commits"))
 
 
 @query("R8", P + "SELECT run_id FROM (SELECT DISTINCT run_id FROM x_usage WHERE starts_with(run_id, 'run-1')) ORDER BY run_id LIMIT 2")

@@ -12,6 +12,7 @@ from tidemark.operators.joins import overlapping
 from tidemark.operators.similarity import set_similarity, templates
 from tidemark.plans import views as V
 from tidemark.plans.registry import Family
+from tidemark.plans.text import SET_SQL, set_digest
 
 family = Family()
 query = family.query
@@ -152,12 +153,12 @@ def drifted_members(spark, d):
 
 
 @query("F20 R7 T14", P + """SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status
-FROM (SELECT path, sha1(string_agg(name, ',' ORDER BY name)) AS h FROM x_symbols WHERE path IS NOT NULL AND name IS NOT NULL AND indexed_at < 1766000000000 GROUP BY path) a
-FULL JOIN (SELECT path, sha1(string_agg(name, ',' ORDER BY name)) AS h FROM x_symbols WHERE path IS NOT NULL AND name IS NOT NULL GROUP BY path) b ON a.path = b.path""")
+FROM (SELECT path, """ + SET_SQL.format("name") + """ AS h FROM x_symbols WHERE path IS NOT NULL AND name IS NOT NULL AND indexed_at < 1766000000000 GROUP BY path) a
+FULL JOIN (SELECT path, """ + SET_SQL.format("name") + """ AS h FROM x_symbols WHERE path IS NOT NULL AND name IS NOT NULL GROUP BY path) b ON a.path = b.path""")
 def dirty_files(spark, d):
     """Files whose fingerprint differs from an earlier snapshot: the set that an incremental run extracts again."""
     s = V.symbols(spark, d).where("path IS NOT NULL AND name IS NOT NULL")
-    stamp = lambda f, n: f.groupBy("path").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("name")), ",")).alias(n))
+    stamp = lambda f, n: f.groupBy("path").agg(set_digest(F.col("name")).alias(n))
     both = stamp(s.where("indexed_at < 1766000000000"), "a").join(stamp(s, "b"), "path", "full_outer")
     status = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") != F.col("b"), "changed").otherwise("same")
     return both.select("path", status.alias("status"))

@@ -273,13 +273,14 @@ def handle_windows(spark, d):
     return merge_intervals(V.usage(spark, d).where("who IS NOT NULL").select("who", "began", "ended"), ["who"], "began", "ended")
 
 
-@query("J18 J19", P + "," + _WINDOWS + """ SELECT w.who AS handle, w.began, count(*) AS n_calls, sum(c.result_chars)::BIGINT AS chars
-FROM merged w JOIN x_calls c ON c.handle = w.who AND c.moment BETWEEN w.began AND w.ended GROUP BY w.who, w.began""")
-def calls_in_windows(spark, d):
-    """Calls inside their handle's merged working windows."""
+@query("J18 J19", P + "," + _WINDOWS + """ SELECT w.who AS handle, w.began, count(*) AS n_posts, coalesce(sum(length(f.message)), 0)::BIGINT AS chars
+FROM merged w JOIN x_feed f ON f.author = w.who AND f.moment BETWEEN w.began AND w.ended GROUP BY w.who, w.began""")
+def posts_in_windows(spark, d):
+    """Posts inside their author's merged working windows."""
     w = handle_windows(spark, d).select(F.col("who").alias("handle"), "began", "ended")
-    c = V.calls(spark, d).where("handle IS NOT NULL AND at IS NOT NULL").select("handle", "at", "result_chars")
-    return point_in_interval(c, w, "handle", "at", "began", "ended", 6 * HOUR).groupBy("handle", "began").agg(F.count("*").alias("n_calls"), F.sum("result_chars").alias("chars"))
+    c = V.feed(spark, d).where("author IS NOT NULL AND at IS NOT NULL").select(F.col("author").alias("handle"), "at", F.length("message").alias("size"))
+    hits = point_in_interval(c, w, "handle", "at", "began", "ended", 6 * HOUR)
+    return hits.groupBy("handle", "began").agg(F.count("*").alias("n_posts"), F.coalesce(F.sum("size"), F.lit(0)).alias("chars"))
 
 
 _LOCK = P + """, locks AS (SELECT file_path, id, moment, CASE WHEN event_type = 'lock_released' THEN '-' ELSE coalesce(author, '-') END AS who, event_type FROM x_feed WHERE event_type IN ('lock_acquired', 'lock_released') AND moment IS NOT NULL AND file_path IS NOT NULL),

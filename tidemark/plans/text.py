@@ -195,12 +195,21 @@ def usage_arithmetic(spark, d):
         F.greatest(z("total_tokens") - z("cache_read_tokens"), F.lit(0)).alias("net"))
 
 
+PACK_ROWS = 1000
+
+
 @query("N8 N9 N11 P1")
 def context_pack(spark, d):
-    """Files with their symbols and open tasks as nested arrays. Symbols of a file are grouped whole: the list is the result asked for."""
-    s = V.symbols(spark, d).where("path IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "name"))).alias("symbols"))
-    t = V.tasks(spark, d).where("target_path IS NOT NULL").groupBy(F.col("target_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("id", "state"))).alias("tasks"))
-    return V.files(spark, d).select("path", "tier").join(s, "path", "left").join(t, "path", "left")
+    """Files with their symbols as nested arrays, in parts of about PACK_ROWS symbols, and the number of open tasks on them.
+
+    A file may hold a third of all symbols, so its symbols are dealt out to as many parts as they need (part from 0).
+    """
+    s = V.symbols(spark, d).where("path IS NOT NULL").select("path", "start_line", "id", "name")
+    parts = s.groupBy("path").agg(F.ceil(F.count("*") / PACK_ROWS).alias("n_parts"))
+    dealt = s.join(parts, "path").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_parts")))
+    packed = dealt.groupBy("path", "part").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "name"))).alias("symbols"))
+    t = V.tasks(spark, d).where("target_path IS NOT NULL").groupBy(F.col("target_path").alias("path")).agg(F.count_if(~F.col("state").isin(V.CLOSED)).alias("n_open"))
+    return V.files(spark, d).select("path", "tier").join(packed, "path", "left").join(t, "path", "left")
 
 
 @query("N10", P + "SELECT path, '{' || string_agg('\"' || kind || '\":' || n, ',' ORDER BY kind) || '}' AS kinds FROM (SELECT path, kind, count(*) AS n FROM x_symbols WHERE path IS NOT NULL GROUP BY path, kind) GROUP BY path")
@@ -246,12 +255,20 @@ def content_hash_groups(spark, d):
     return g.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("M11", P + "SELECT name, left(sha1(string_agg(path || ':' || start_line, ',' ORDER BY path || ':' || start_line)), 16) AS group_id FROM (SELECT DISTINCT name, path, start_line FROM x_symbols WHERE name IS NOT NULL AND path IS NOT NULL AND start_line IS NOT NULL) GROUP BY name HAVING count(*) > 1")
+SET_SQL = "md5(count(*) || ':' || sum(CAST('0x' || left(md5({0}), 12) AS BIGINT)))"
+
+
+def set_digest(key):
+    """Digest of a group's distinct keys that does not depend on their order and collects none: count and sum of their hashes."""
+    part = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("decimal(38,0)")
+    return F.md5(F.concat_ws(":", F.count("*").cast("string"), F.sum(part).cast("string")))
+
+
+@query("M11", P + "SELECT name, " + SET_SQL.format("k") + " AS group_id FROM (SELECT DISTINCT name, path || ':' || start_line AS k FROM x_symbols WHERE name IS NOT NULL AND path IS NOT NULL AND start_line IS NOT NULL) GROUP BY name HAVING count(*) > 1")
 def group_ids(spark, d):
-    """Content id of a group: digest of its sorted member keys. Members of one name are a group by definition."""
+    """Content id of a group from its member keys, equal under any order of members."""
     s = V.symbols(spark, d).where("name IS NOT NULL AND path IS NOT NULL AND start_line IS NOT NULL").select("name", F.concat_ws(":", "path", "start_line").alias("k")).distinct()
-    g = s.groupBy("name").agg(F.array_sort(F.collect_list("k")).alias("ks")).where(F.size("ks") > 1)
-    return g.select("name", F.substring(F.sha1(F.array_join("ks", ",")), 1, 16).alias("group_id"))
+    return s.groupBy("name").agg(set_digest(F.col("k")).alias("group_id"), F.count("*").alias("n")).where("n > 1").select("name", "group_id")
 
 
 @query("M12", P + "SELECT id, round(list_sum(list_transform(string_split(path, '/'), lambda x: 1.0 / length(x))), 6) AS weight FROM x_symbols WHERE path IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import windows as W
 from tidemark.operators.joins import first_of
+from tidemark.operators.sessions import sweep_sessions
 from tidemark.plans import views as V
 from tidemark.plans.registry import Family
 from tidemark.runtime import load
@@ -48,12 +49,12 @@ def rank_fusion(spark, d, limit: int = 20):
     return fused.orderBy(F.desc("score"), "path").limit(limit)
 
 
-@query("W6 T17", P + """SELECT author, min(id) AS first_id, count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY author ORDER BY moment, id ROWS UNBOUNDED PRECEDING) AS s FROM (
+@query("W6 T17", P + """SELECT author, arg_min(id, (moment, id)) AS first_id, count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY author ORDER BY moment, id ROWS UNBOUNDED PRECEDING) AS s FROM (
 SELECT *, CASE WHEN moment - lag(moment) OVER (PARTITION BY author ORDER BY moment, id) < 120000 THEN 0 ELSE 1 END AS o FROM x_feed WHERE author IS NOT NULL AND moment IS NOT NULL)) GROUP BY author, s""")
 def crash_sessions(spark, d):
-    """Sessions of posts less than two minutes apart."""
-    f = V.feed(spark, d).where("author IS NOT NULL AND at IS NOT NULL").select("author", "at", "id")
-    return W.gap_sessions(f, ["author"], "at", "id", 120_000).groupBy("author", "session_no").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).drop("session_no")
+    """Sessions of posts strictly less than two minutes apart, by the sweep, so a busy author is spread over hours."""
+    f = V.feed(spark, d).select(F.col("author").alias("entity"), "at", F.col("id").alias("event_id"))
+    return sweep_sessions(f, gap_ms=119_999).select(F.col("entity").alias("author"), "first_id", F.col("n_events").alias("n"))
 
 
 @query("W7", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS q FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 50) WHERE q <= 200")
