@@ -84,3 +84,28 @@ def test_empty_and_single(spark):
     assert similar_vectors(frame(spark, [(1, np.ones(DIM))]), dim=DIM).collect() == []
     with pytest.raises(ValueError, match="vector"):
         similar_vectors(spark.range(1), dim=DIM)
+
+
+def test_every_vector_gets_its_whole_top_five(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal(DIM)
+    rows = clusters(6, 20, 3) + [(1000 + i, rng.standard_normal(DIM)) for i in range(30)] + [(2000 + i, v) for i in range(8)] + [(3000, None)]
+    want = brute(rows, least=-2)
+    for tile in (12_288, 16):
+        monkeypatch.setattr("tidemark.llm.vectors.EXACT_TILE", tile)
+        out = similar_vectors(frame(spark, rows), dim=DIM, fill=True).collect()
+        assert {(r["id"], r["other_id"]) for r in out} == want and len(out) == 5 * 98
+    few = similar_vectors(frame(spark, clusters(7, 3, 1)), dim=DIM, fill=True).collect()
+    assert sorted((r["id"], r["rank"]) for r in few) == [(i, j) for i in range(3) for j in (1, 2)]
+
+
+def test_p3_neighbours_has_five_for_every_usable_vector(spark, duck):
+    from tests.conftest import SF, rows
+    from tidemark.llm.queries import QUERIES
+
+    want = duck.sql("""WITH usable AS (SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE))) AS v FROM code_embeddings WHERE id IS NOT NULL AND len(vector) = 128
+  AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
+pairs AS (SELECT a.id, b.id AS other_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM usable a JOIN usable b ON a.id <> b.id)
+SELECT id, other_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS rank FROM pairs) WHERE rank <= 5""").fetchall()
+    got = rows(QUERIES["p3_neighbours"][0](spark, str(SF)).select("id", "other_id"))
+    assert got == sorted(want, key=repr) and len(got) > 0

@@ -64,8 +64,9 @@ FROM msgs m JOIN verdict v ON v.t = m.t WHERE NOT broken AND visible"""
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every usable vector, of any similarity."""
     table = load(spark, d, "code_embeddings")
-    near = similar_vectors(table.select("id", "vector"))
+    near = similar_vectors(table.select("id", "vector"), fill=True)
     names = table.where("id IS NOT NULL").groupBy("id").agg(F.min("target_name").alias("target_name")).select(F.col("id").alias("other_id"), "target_name")
     return near.join(names, "other_id").select("id", "other_id", "target_name", F.round("similarity", 3).alias("similarity"))
 

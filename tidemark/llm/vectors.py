@@ -28,6 +28,8 @@ BLOCK = 32
 GRID = 1e5
 #: Rows of a list compared in one task; larger lists are tiled, and every tile is compared.
 TILE = 4096
+#: Rows of either side of a tile of the exact comparison.
+EXACT_TILE = 12_288
 
 
 def unit_vectors(table: DataFrame, dim: int) -> DataFrame:
@@ -95,9 +97,57 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, radius2: float, epsilon: float =
     return a, b
 
 
-def similar_vectors(table: DataFrame, k: int = 5, least: float = 0.8, dim: int = 128, probes: int = PROBES, max_lists: int = MAX_LISTS) -> DataFrame:
+def exact_nearest(asking: DataFrame, classes: DataFrame, k: int, dim: int) -> DataFrame:
+    """The ``k`` most similar others among all ``classes`` of every row of ``asking`` (both class_id, unit), whatever their similarity.
+
+    Every pair is compared, in tiles of at most about EXACT_TILE rows a side, so the work grows with the product of both sizes. Ties go
+    to the smaller id. Result: a, b, sim.
+    """
+    parts = lambda n: max(1, math.ceil(n / EXACT_TILE))
+    qs, xs = parts(asking.count()), parts(classes.count())
+
+    def side(rows: DataFrame, asks: bool, own: int, across: int) -> DataFrame:
+        mine, other = F.pmod(F.xxhash64("class_id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(across - 1)))
+        placed = rows.select("class_id", "unit", mine.cast("int").alias("own"), other.alias("other"))
+        return placed.select("class_id", "unit", F.lit(asks).alias("asks"), F.col("own" if asks else "other").alias("qb"), F.col("other" if asks else "own").alias("xb"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy()
+        q, qi = _matrix(group["unit"][asks], dim), group["class_id"].to_numpy()[asks]
+        xi = group["class_id"].to_numpy()[~asks]
+        order = np.argsort(xi)
+        xi, x = xi[order], _matrix(group["unit"][~asks], dim)[order]
+        out = [pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})]
+        for s in range(0, len(q) if len(x) else 0, 256):
+            ids, some = qi[s : s + 256], q[s : s + 256]
+            sim = some @ x.T
+            at = np.minimum(np.searchsorted(xi, ids), len(xi) - 1)
+            same = np.nonzero(xi[at] == ids)[0]
+            sim[same, at[same]] = -3
+            # A margin for single precision; what lies within it is compared again in double precision.
+            floor = np.maximum(np.partition(sim, -k, axis=1)[:, -k] - 1e-5 if len(x) > k else -2, -2)
+            a, b = np.nonzero(sim >= np.broadcast_to(floor, len(some))[:, None])
+            exact = np.round(np.einsum("ij,ij->i", some[a].astype(np.float64), x[b].astype(np.float64)), 6)
+            best = np.lexsort((b, -exact, a))
+            a, b, exact = a[best], b[best], exact[best]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append(pd.DataFrame({"a": ids[a[keep]], "b": xi[b[keep]], "sim": exact[keep]}))
+        return pd.concat(out)
+
+    tiles = side(asking, True, qs, xs).unionByName(side(classes, False, xs, qs))
+    found = tiles.groupBy("qb", "xb").applyInPandas(compare, "a long, b long, sim double")
+    best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def similar_vectors(
+    table: DataFrame, k: int = 5, least: float = 0.8, dim: int = 128, probes: int = PROBES, max_lists: int = MAX_LISTS, fill: bool = False
+) -> DataFrame:
     """For every usable vector of ``table`` (id, vector) its ``k`` most similar others of cosine ``least`` or more.
 
+    With ``fill``, vectors that have fewer than ``k`` of these get their ``k`` most similar others of any cosine, found by
+    ``exact_nearest``; ``least`` then only says how far the lists are trusted.
+
     Vectors of equal direction form one class and are searched once: their members are each other's neighbours, the smallest ids
     first, so a group of copies of any size costs one row each. Ties of similarity go to the smaller id.
     The number of lists grows with the square root of the rows up to ``max_lists``; each vector is compared in its ``probes`` nearest
@@ -181,6 +231,14 @@ def similar_vectors(table: DataFrame, k: int = 5, least: float = 0.8, dim: int =
     pairs = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    if fill:
+        pairs = cut(pairs)
+        # A class of k near classes is served, and so is one of more than k members.
+        have = pairs.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("near"))
+        short = classes.join(have, "class_id", "left").where((F.coalesce("near", F.lit(0)) < k) & (F.col("n") <= k))
+        short = cut(short.select("class_id", "unit"))
+        served = pairs.join(short.select(F.col("class_id").alias("a")), "a", "left_anti")
+        pairs = served.unionByName(exact_nearest(short, classes.select("class_id", "unit"), k, dim))
     # Of a class only its k + 1 smallest ids can be among anybody's k nearest. Ids ranked in salted parts first.
     salted = Window.partitionBy("class_id", "salt").orderBy("id")
     lowest = (
