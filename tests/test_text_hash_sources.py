@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,25 @@ def test_lines_symbols_calls_and_engines(spark, tree):
         scan.literal_search(spark, "x", "y", engine="none")
 
 
+def test_engines_read_large_files_whole(spark, tmp_path):
+    text = "return null\n" + "x" * 99 + "\0\n" + ("y" * 99 + "\r\n") * 90_000 + "return null"
+    (tmp_path / "part-0").write_bytes(text.encode())
+    assert len(text) > scan.LARGE_BYTES
+    for engine in ("native", "datasource"):
+        assert sorted(r["line"] for r in scan.literal_search(spark, str(tmp_path), "return null", engine=engine).collect()) == [1, 90_003]
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n", "\n\n", "ab\r\ncd\n\nefghij\r\r\nk", "abc\nde\r\n"])
+def test_byte_ranges_make_up_the_file(tmp_path, monkeypatch, text):
+    path = tmp_path / "part-0"
+    path.write_bytes(text.encode())
+    want = [(str(path), i, x) for i, x in enumerate(re.split("\r?\n", text), 1)]
+    for size in (1, 2, 3, 4, 100):
+        monkeypatch.setattr(scan, "RANGE_BYTES", size)
+        reader = scan._LiteralReader({"path": str(tmp_path), "pattern": ""})
+        assert [x for p in reader.partitions() for x in reader.read(p)] == want
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "log.jsonl"
     p.write_text('{"kind":"a","n":1}\n\n{"kind":"b"\n{"kind":"c","n":3}\n')

@@ -16,6 +16,8 @@ import tidemark.runtime  # noqa: F401  lets the data source travel to workers
 IGNORED_DIRS = ["node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".cache"]
 SNIFF_BYTES = 8000
 LARGE_BYTES = 8 * 1024 * 1024
+#: Bytes of a file that one task of the data source reads.
+RANGE_BYTES = 16 * 1024 * 1024
 
 
 def is_ignored(path: Column, root_only: list[str] | None = None) -> Column:
@@ -80,7 +82,10 @@ def _native(spark: SparkSession, path: str, pattern: str, is_regex: bool) -> Dat
 
 
 class LiteralSource(DataSource):
-    """Python data source of matching lines: one partition per file. Options: path (folder or file), pattern, regex."""
+    """Python data source of matching lines: one partition per byte range of a file. Options: path (folder or file), pattern, regex.
+
+    Reads every file whole, whatever its size and content, as the native engine does; ``scan_tree`` tells large and binary files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -94,8 +99,8 @@ class LiteralSource(DataSource):
 
 
 class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
 class _LiteralReader(DataSourceReader):
@@ -105,19 +110,38 @@ class _LiteralReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isfile(self.path):
-            return [_FilePartition(self.path)]
-        if not os.path.isdir(self.path):
+            paths = [self.path]
+        elif os.path.isdir(self.path):
+            # A checksum file that Hadoop lays beside a file is no text of anybody.
+            paths = [os.path.join(d, f) for d, _, names in os.walk(self.path) for f in sorted(names) if not (f.startswith(".") and f.endswith(".crc") and f[1:-4] in names)]
+        else:
             raise FileNotFoundError(self.path)
-        return [_FilePartition(os.path.join(d, f)) for d, _, names in os.walk(self.path) for f in sorted(names)]
+        # The last range also takes the empty line behind a closing line break.
+        return [_FilePartition(p, s, s + RANGE_BYTES) for p in paths for s in range(0, os.path.getsize(p) + 1, RANGE_BYTES)]
 
     def read(self, partition: _FilePartition) -> Iterator[tuple]:
+        """Matching lines whose first byte lies in the range. Lines before it are only counted."""
         with open(partition.path, "rb") as f:
-            raw = f.read()
-        if len(raw) > LARGE_BYTES or b"\0" in raw[:SNIFF_BYTES]:
-            return
-        for i, text in enumerate(re.split("\r?\n", raw.decode("utf-8", "replace")), 1):
-            if re.search(self.pattern, text) if self.is_regex else self.pattern in text:
-                yield partition.path, i, text
+            line, left = 1, max(0, partition.start - 1)
+            while left and (chunk := f.read(min(left, 1 << 20))):
+                line, left = line + chunk.count(b"\n"), left - len(chunk)
+            if partition.start:
+                line += f.readline().endswith(b"\n")
+            while (at := f.tell()) < partition.end:
+                raw = f.readline()
+                if not raw and at and not self._ends_with_break(f, at):
+                    return
+                text = (raw[:-1].removesuffix(b"\r") if raw.endswith(b"\n") else raw).decode("utf-8", "replace")
+                if re.search(self.pattern, text) if self.is_regex else self.pattern in text:
+                    yield partition.path, line, text
+                if not raw:
+                    return
+                line += 1
+
+    @staticmethod
+    def _ends_with_break(f, end: int) -> bool:
+        f.seek(end - 1)
+        return f.read(1) == b"\n"
 
 
 def _data_source(spark: SparkSession, path: str, pattern: str, is_regex: bool) -> DataFrame:
