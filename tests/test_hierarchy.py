@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators.hierarchy import descendants, resolve_hierarchy
+from tidemark.operators.hierarchy import all_descendants, descendants, resolve_hierarchy
 
 
 def plain(links):
@@ -58,6 +58,47 @@ def test_descendants(spark):
     assert sorted(tuple(x) for x in d.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0)]
 
 
+def walked_pairs(known):
+    out = set()
+    for n in known:
+        seen, cur = [], n
+        while cur in known and cur not in seen:
+            seen.append(cur)
+            cur = known[cur]
+        out |= {(a, n, i) for i, a in enumerate(seen)}
+    return out
+
+
+def pairs(spark, known):
+    return sorted(tuple(x) for x in all_descendants(spark.createDataFrame(list(known.items()), "id long, parent_id long")).collect())
+
+
+def test_descendants_on_and_below_loops(spark):
+    known = {1: None, 2: 1, 5: 7, 6: 5, 7: 6, 8: 6, 9: 8, 10: 5, 20: 20, 21: 20, 30: 99}
+    assert pairs(spark, known) == sorted(walked_pairs(known))
+    assert pairs(spark, {1: None, 2: 1}) == [(1, 1, 0), (1, 2, 1), (2, 2, 0)]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.dictionaries(st.integers(1, 15), st.one_of(st.none(), st.integers(1, 16)), min_size=1, max_size=15))
+def test_all_descendants_against_walk(spark, known):
+    assert pairs(spark, known) == sorted(walked_pairs(known))
+
+
+def test_p4_descendants_of_every_task(spark, duck):
+    from tests.conftest import SF, rows
+    from tidemark.plans.catalog import catalog
+    from tidemark.plans.pipeline import QUERIES
+
+    links = duck.sql("""WITH held AS (SELECT id, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, parent_id DESC NULLS LAST) AS k
+FROM agent_tasks WHERE id IS NOT NULL) WHERE k = 1) SELECT h.id, p.id FROM held h LEFT JOIN held p ON p.id = h.parent_id AND h.parent_id <> 0""").fetchall()
+    want = walked_pairs(dict(links))
+    got = QUERIES["p4_descendants"][0](spark, str(SF)).select("ancestor_id", "id", "distance")
+    assert rows(got) == sorted(want, key=repr)
+    below = rows(catalog()["descendant_counts"][0](spark, str(SF)).select("top", "n_below"))
+    assert below == sorted(((i, sum(a == i for a, _, _ in want) - 1) for i in dict(links)), key=repr)
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.dictionaries(st.integers(1, 25), st.one_of(st.none(), st.integers(1, 30)), min_size=1, max_size=25))
 def test_against_walk(spark, known):

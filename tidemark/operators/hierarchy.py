@@ -89,3 +89,29 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """All (ancestor_id, id, distance) pairs of a hierarchy with paths, each node with itself at distance 0; loops have none."""
     walked = resolved.where("path IS NOT NULL").select("id", F.size("path").alias("n"), F.posexplode("path").alias("pos", "ancestor_id"))
     return walked.select("ancestor_id", "id", (F.col("n") - 1 - F.col("pos")).cast("long").alias("distance"))
+
+
+def all_descendants(nodes: DataFrame) -> DataFrame:
+    """All (ancestor_id, id, distance) pairs of ``nodes`` (id, parent_id), each node with itself at distance 0, loops included.
+
+    On or below a loop the ancestors of a node are its path from the loop's entry node down and every node of that loop, each once, at
+    the distance at which the walk upwards first meets it.
+    """
+    require_columns(nodes, ["id", "parent_id"])
+    own = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id")).where("id IS NOT NULL")
+    own = own.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    resolved = cut(resolve_hierarchy(own, with_paths=True))
+    stuck = cut(resolved.where("depth = -1").select("id", F.col("root_id").alias("low")).join(own, "id"))
+    # Without the link of its smallest node a loop is a tree below that node, and that node's parent is its far end. Pointers double
+    # over all of these few nodes, with a small plan in each round.
+    up = F.when(F.col("id") != F.col("low"), F.col("parent_id"))
+    opened = cut(stuck.select("id", F.col("low").alias("root_id"), up.alias("up"), F.array("id").alias("path")))
+    while opened.where("up IS NOT NULL").limit(1).count():
+        hops = opened.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        path = F.concat(F.coalesce("head", F.array().cast("array<long>")), "path")
+        opened = cut(opened.join(hops, "up", "left").select("id", "root_id", F.col("next").alias("up"), path.alias("path")))
+    rings = stuck.where("id = low").select("low", F.col("parent_id").alias("id")).join(opened.select("id", "path"), "id").select(F.col("low").alias("root_id"), F.col("path").alias("ring"))
+    # What of the loop is not on the path lies behind its smallest node, the far end first.
+    around = opened.join(rings, "root_id").select("id", F.size("path").alias("n"), F.posexplode(F.reverse(F.array_except("ring", "path"))).alias("pos", "ancestor_id"))
+    around = around.select("ancestor_id", "id", (F.col("n") + F.col("pos")).cast("long").alias("distance"))
+    return descendants(resolved).unionByName(descendants(opened)).unionByName(around)

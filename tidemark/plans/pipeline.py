@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import normalize as N
-from tidemark.operators.hierarchy import descendants, resolve_hierarchy
+from tidemark.operators.hierarchy import all_descendants, resolve_hierarchy
 from tidemark.operators.references import broken_references, reference_report
 from tidemark.operators.rolling import trailing_totals
 from tidemark.operators.sessions import GAP_MS, sweep_sessions
@@ -81,7 +81,8 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(resolve_hierarchy(_task_nodes(spark, d), with_paths=True))
+    """All descendants of every task, those on and below loops included."""
+    return all_descendants(_task_nodes(spark, d))
 
 
 _SQL_TASKS = """
