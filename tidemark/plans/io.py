@@ -225,7 +225,7 @@ def mode_dispatch(spark, d, mode: str = "idle"):
     return modes[mode]().select("id")
 
 
-@query("V4 V5 F15", P + "SELECT kind, count(*) AS n, count(DISTINCT name) AS n_names FROM x_symbols WHERE name IS NOT NULL GROUP BY kind HAVING count(*) >= 3")
+@query("V4 V5", P + "SELECT kind, count(*) AS n, count(DISTINCT name) AS n_names FROM x_symbols WHERE name IS NOT NULL GROUP BY kind HAVING count(*) >= 3")
 def injected_aggregates(spark, d):
     """A grouping whose aggregates and admission rule are given from outside."""
     aggregates = [F.count("*").alias("n"), F.count_distinct("name").alias("n_names")]

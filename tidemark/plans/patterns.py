@@ -82,7 +82,7 @@ def near_vectors(spark, d):
     return hits.select("query_id", "id", (F.col("similarity") >= 0.6).alias("is_exact"))
 
 
-@query("F6 F7 F13 F14", P + """, t AS (SELECT kind, string_split(path, '/') AS parts FROM x_symbols WHERE path IS NOT NULL), x AS (SELECT kind, len(parts) AS length, parts, unnest(range(1, len(parts) + 1)) AS pos FROM t),
+@query("F6 F7 F13", P + """, t AS (SELECT kind, string_split(path, '/') AS parts FROM x_symbols WHERE path IS NOT NULL), x AS (SELECT kind, len(parts) AS length, parts, unnest(range(1, len(parts) + 1)) AS pos FROM t),
 s AS (SELECT kind, length, pos, min(parts[pos]) AS low, max(parts[pos]) AS high, count(*) AS n FROM x GROUP BY kind, length, pos)
 SELECT kind, length, string_agg(CASE WHEN low = high THEN low ELSE '?' END, ' ' ORDER BY pos) AS template, max(n) AS n_rows, count(*) FILTER (low <> high) AS n_holes FROM s GROUP BY kind, length""")
 def path_templates(spark, d):
@@ -126,7 +126,7 @@ def gated_groups(spark, d):
     return _groups(spark, d).where("members > 1").select("kind", "facet", "fp1", "members", "mass", F.col("evidence").cast("long").alias("evidence"), "reason", idiom.alias("is_idiom"))
 
 
-@query("F17 F18 F19 M17 M18", _GROUPS + """, s AS (SELECT kind, facet, fp1, lower(replace(fp1, '_', '')) AS family, members * evidence AS score FROM j WHERE reason IS NULL),
+@query("F17 F18 F19 M17", _GROUPS + """, s AS (SELECT kind, facet, fp1, lower(replace(fp1, '_', '')) AS family, members * evidence AS score FROM j WHERE reason IS NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY kind, facet, family ORDER BY score DESC, fp1) AS r FROM s)
 SELECT kind, facet, fp1, score, r > 1 AS is_folded, (SELECT max(fp1) FROM f h WHERE h.kind = f.kind AND h.facet = f.facet AND h.family = f.family AND h.r = 1) AS host FROM f""")
 def ranked_groups(spark, d):

@@ -307,7 +307,7 @@ def next_event_wait(spark, d):
     return next_event(waits, got, ["file_path"], "at", "granted").select("id", (F.col("granted") - F.col("at")).alias("wait_ms"))
 
 
-@query("J22 A54", P + """SELECT a.id AS outer_id, b.id AS inner_id FROM x_symbols a JOIN x_symbols b ON a.path = b.path AND a.id <> b.id AND a.start_line <= b.start_line AND b.end_line <= a.end_line
+@query("J22", P + """SELECT a.id AS outer_id, b.id AS inner_id FROM x_symbols a JOIN x_symbols b ON a.path = b.path AND a.id <> b.id AND a.start_line <= b.start_line AND b.end_line <= a.end_line
 AND a.end_line - a.start_line > b.end_line - b.start_line AND b.start_line <= b.end_line""")
 def span_containment(spark, d):
     """Spans of a file that strictly contain another one."""

@@ -236,7 +236,7 @@ def feature_hash(spark, d):
     return s.select("name", H.fnv1a_udf("name").alias("fnv"), H.feature_vector_udf("name").alias("vector"))
 
 
-@query("M8 M9 M10")
+@query("M8 M9")
 def unit_digests(spark, d):
     """Digests of symbol names, each distinct name hashed once. No oracle; tested against known values."""
     return V.symbols(spark, d).where("name IS NOT NULL").select("name").distinct().select("name", H.digest64_udf("name").alias("digest"))
