@@ -113,7 +113,7 @@ _TREE = P + """, n AS (SELECT h.id, p.id AS up, h.total_tokens, h.telemetry_sour
 t AS (SELECT id AS top, id FROM n WHERE up IS NULL UNION ALL SELECT t.top, n.id FROM t JOIN n ON n.up = t.id)"""
 
 
-@query("G13 G14 R51", _TREE + """, u AS (SELECT task_id, sum(total_tokens)::BIGINT AS imported FROM x_usage WHERE task_id IS NOT NULL GROUP BY task_id)
+@query("G13 G14", _TREE + """, u AS (SELECT task_id, sum(total_tokens)::BIGINT AS imported FROM x_usage WHERE task_id IS NOT NULL GROUP BY task_id)
 SELECT t.top, count(*) AS n_tasks, sum(CASE WHEN n.telemetry_source = 'own' THEN n.total_tokens ELSE u.imported END)::BIGINT AS tokens, count(*) FILTER (CASE WHEN n.telemetry_source = 'own' THEN n.total_tokens ELSE u.imported END IS NULL) AS n_unknown
 FROM t JOIN n ON n.id = t.id LEFT JOIN u ON u.task_id = t.id GROUP BY t.top""")
 def tree_rollup(spark, d):
