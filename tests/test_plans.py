@@ -74,3 +74,16 @@ def test_rows_without_code_are_not_claimed():
     claimed = {r for rows in coverage().values() for r in rows}
     for row in ("F14", "F15", "M10", "M18", "A54", "R51"):
         assert row not in claimed and OTHER[row].startswith("left out")
+
+
+def test_k_row_windows_of_two_to_six_rows(spark, duck):
+    from collections import Counter
+
+    from tests.conftest import SF
+
+    flags = {}
+    for order, line, flag in duck.sql("SELECT l_orderkey, l_linenumber, min(l_returnflag) FROM lineitem GROUP BY ALL").fetchall():
+        flags.setdefault(order, {})[line] = flag
+    want = Counter((k, ",".join(f[i + j] for j in range(k))) for f in flags.values() for i in f for k in range(2, 7) if all(i + j in f for j in range(k)))
+    got = CATALOG["k_row_windows"][0](spark, str(SF)).collect()
+    assert {(r["k"], r["window_key"]): r["n"] for r in got} == want and {k for k, _ in want} == {2, 3, 4, 5, 6}

@@ -89,9 +89,9 @@ def trend_delta(spark, d):
 w AS (SELECT l_orderkey, l_linenumber, v, lead(v, 1) OVER x AS a, lead(v, 2) OVER x AS b FROM r WINDOW x AS (PARTITION BY l_orderkey, g ORDER BY l_linenumber))
 SELECT k, window_key, count(*) AS n FROM (SELECT 2 AS k, v || ',' || a AS window_key FROM w WHERE a IS NOT NULL UNION ALL SELECT 3, v || ',' || a || ',' || b FROM w WHERE b IS NOT NULL) GROUP BY k, window_key""")
 def k_row_windows(spark, d):
-    """How often each sequence of two or three consecutive flags occurs within an order (the least flag of a line number)."""
+    """How often each sequence of two to six consecutive flags occurs within an order (the least flag of a line number)."""
     rows = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("v"))
-    return W.k_windows(rows, ["l_orderkey"], "l_linenumber", "v", 2, 3).groupBy(F.col("window_size").alias("k"), "window_key").agg(F.count("*").alias("n"))
+    return W.k_windows(rows, ["l_orderkey"], "l_linenumber", "v", 2, 6).groupBy(F.col("window_size").alias("k"), "window_key").agg(F.count("*").alias("n"))
 
 
 @query("W15", P + "SELECT id, CASE WHEN state <> 'duplicate' THEN row_number() OVER (PARTITION BY tier, state = 'duplicate' ORDER BY total_tokens DESC, id) END AS place FROM x_tasks WHERE total_tokens IS NOT NULL AND tier IS NOT NULL")
