@@ -66,13 +66,13 @@ FROM msgs m JOIN verdict v ON v.t = m.t WHERE NOT broken AND visible"""
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar others of every usable vector, of any similarity."""
     table = load(spark, d, "code_embeddings")
-    near = similar_vectors(table.select("id", "vector"), fill=True)
+    near = similar_vectors(table.select("id", "vector"))
     names = table.where("id IS NOT NULL").groupBy("id").agg(F.min("target_name").alias("target_name")).select(F.col("id").alias("other_id"), "target_name")
     return near.join(names, "other_id").select("id", "other_id", "target_name", F.round("similarity", 3).alias("similarity"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = similar_vectors(load(spark, d, "code_embeddings").select("id", "vector"))
+    near = similar_vectors(load(spark, d, "code_embeddings").select("id", "vector"), least=0.8)
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 
@@ -81,10 +81,10 @@ WITH usable AS (SELECT id, min(list_transform(vector, lambda x: CAST(x AS DOUBLE
   WHERE id IS NOT NULL AND len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
 pairs AS (SELECT a.id, b.id AS other_id, b.target_name, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM usable a JOIN usable b ON a.id <> b.id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS rank FROM pairs WHERE similarity >= 0.8)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS rank FROM pairs)
 """
 P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, other_id, target_name, round(similarity, 3) AS similarity FROM ranked WHERE rank <= 5"
-P3_FOUND = _SQL_NEAR + "SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM ranked WHERE rank <= 5"
+P3_FOUND = _SQL_NEAR + "SELECT DISTINCT least(id, other_id) AS id_a, greatest(id, other_id) AS id_b FROM ranked WHERE rank <= 5 AND similarity >= 0.8"
 
 # ---- problem 7: token ids
 

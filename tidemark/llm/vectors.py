@@ -2,7 +2,8 @@
 
 Unit vectors are rotated by a random orthogonal matrix, so every block of columns carries a fair share of a distance. Within a
 probed list candidates are compared block by block; a hypothesis test on the partial distance abandons those that are
-surely farther than the bound, and only survivors read the next block.
+surely farther than the k-th best found so far, and only survivors go on to the next block. How many lists are probed is
+calibrated on a bounded sample of queries whose true neighbours are known from a pass over all rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import cut, require_columns
 
-#: The lists are fitted on at most this many vectors, those with the smallest hash of their id. All vectors are indexed.
+#: The lists are fitted on about this many vectors, or eight for each list where that is more, at most MAX_SAMPLE; all vectors are indexed.
 SAMPLE = 20_000
-MAX_LISTS = 1024
+MAX_SAMPLE = 200_000
+#: Sampled queries whose true neighbours say how many lists must be probed, and the share of these neighbours to be found.
+TRIALS = 512
+RECALL = 0.99
+#: Lists probed at least where a bound on the similarity is given.
 PROBES = 6
+#: Without a bound on the similarity, lists are searched only for neighbours this close if finding all would take more than a quarter of them.
+TRUSTED = 0.8
 #: Significance of the test; the larger, the fewer true neighbours are abandoned.
 EPSILON = 2.1
 BLOCK = 32
@@ -30,6 +37,11 @@ GRID = 1e5
 TILE = 4096
 #: Rows of either side of a tile of the exact comparison.
 EXACT_TILE = 12_288
+#: Pairs whose vectors are gathered at once.
+_GATHER = 65_536
+#: Queries compared at once, and the candidates that give them first bounds before the rest of a tile is scanned.
+_ASK, _FIRST = 256, 512
+_SLACK = 1e-5
 
 
 def unit_vectors(table: DataFrame, dim: int) -> DataFrame:
@@ -62,10 +74,11 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dim)
 
 
-def _fit(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
+def _kmeans(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Centroids (unit length) by k-means on the sample, started from evenly spread rows."""
     rng = np.random.default_rng(seed)
     c = sample[rng.permutation(len(sample))[:lists]]
+    lists = len(c)
     for _ in range(8):
         home = (sample @ c.T).argmax(axis=1)
         order = np.argsort(home, kind="stable")
@@ -77,24 +90,106 @@ def _fit(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, radius2: float, epsilon: float = EPSILON, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (rows of q, rows of x) within squared distance ``radius2``, rotated columns given.
+def _fit(sample: np.ndarray, lists: int) -> np.ndarray:
+    """About ``lists`` centroids; many of them are fitted in two levels, so the work grows with the square root of their number."""
+    if lists <= 128:
+        return _kmeans(sample, lists)
+    coarse = _kmeans(sample, round(math.sqrt(lists)))
+    home = (sample @ coarse.T).argmax(axis=1)
+    parts = [sample[home == c] for c in range(len(coarse))]
+    return np.concatenate([_kmeans(part, max(1, round(lists * len(part) / len(sample)))) for part in parts if len(part)])
 
-    The first block is compared for all pairs at once; a pair goes on only while its partial distance over d of D columns is at
-    most radius2 * d/D * (1 + epsilon/sqrt(d))^2, as a random rotation makes larger ones improbable for a true neighbour.
+
+def adaptive_scan(
+    q: np.ndarray, x: np.ndarray, limit_q: np.ndarray, limit_x: np.ndarray, epsilon: float = EPSILON, block: int = BLOCK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (rows of q, rows of x, squared distance) within the limit of either row, rotated columns given.
+
+    A pair goes on only while its partial distance over d of D columns is at most limit * d/D * (1 + epsilon/sqrt(d))^2, as a random
+    rotation makes larger ones improbable for a true neighbour. While many pairs are left a block of columns is one matrix product;
+    once they are few, only their columns are gathered, a bounded number of pairs at a time.
     """
     dim = q.shape[1]
-    q1, x1 = q[:, :block], x[:, :block]
-    part = (q1 * q1).sum(1)[:, None] + (x1 * x1).sum(1)[None, :] - 2 * (q1 @ x1.T)
-    bound = lambda d: radius2 * (1.0 if d >= dim else d / dim * (1 + epsilon / math.sqrt(d)) ** 2)
-    a, b = np.nonzero(part <= bound(block) + 1e-6)
-    sums = part[a, b]
-    for start in range(block, dim, block):
-        diff = q[a, start : start + block] - x[b, start : start + block]
-        sums = sums + np.einsum("ij,ij->i", diff, diff)
-        keep = sums <= bound(min(start + block, dim)) + 1e-6
-        a, b, sums = a[keep], b[keep], sums[keep]
-    return a, b
+    limit = np.maximum(limit_q[:, None], limit_x[None, :])
+    share = lambda d: 1.0 if d >= dim else d / dim * (1 + epsilon / math.sqrt(d)) ** 2
+    part, alive, start = np.zeros((len(q), len(x)), dtype=np.float32), None, 0
+    while start < dim and (alive is None or alive.sum() * 8 > alive.size):
+        qb, xb = q[:, start : start + block], x[:, start : start + block]
+        part += (qb * qb).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * (qb @ xb.T)
+        start = min(start + block, dim)
+        inside = part <= limit * share(start) + _SLACK
+        alive = inside if alive is None else alive & inside
+    a, b = np.nonzero(alive)
+    sums, most = part[a, b], limit[a, b]
+    while start < dim and len(a):
+        for s in range(0, len(a), _GATHER):
+            diff = q[a[s : s + _GATHER], start : start + block] - x[b[s : s + _GATHER], start : start + block]
+            sums[s : s + _GATHER] += np.einsum("ij,ij->i", diff, diff)
+        start = min(start + block, dim)
+        keep = sums <= most * share(start) + _SLACK
+        a, b, sums, most = a[keep], b[keep], sums[keep], most[keep]
+    return a, b, sums
+
+
+class _Best:
+    """The ``k`` nearest partners of each of ``n`` rows so far; ties go to the smaller partner."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.dist = np.full((n, k), np.inf, dtype=np.float32)
+        self.who = np.full((n, k), -1, dtype=np.int64)
+
+    def add(self, rows: np.ndarray, partners: np.ndarray, dist: np.ndarray) -> None:
+        better = dist <= self.dist[rows, -1]
+        rows, partners, dist = rows[better], partners[better], dist[better]
+        touched = np.unique(rows)
+        a = np.concatenate([rows, np.repeat(touched, self.k)])
+        d, w = np.concatenate([dist, self.dist[touched].ravel()]), np.concatenate([partners, self.who[touched].ravel()])
+        order = np.lexsort((w, d, a))
+        a, d, w = a[order], d[order], w[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        first = place < self.k
+        self.dist[a[first], place[first]], self.who[a[first], place[first]] = d[first], w[first]
+
+
+def nearest_in_tile(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: int, radius2: float = math.inf) -> pd.DataFrame:
+    """a (of qi), b (of xi), sim: the ``k`` nearest of every row of either side within the tile and ``radius2``, equal ids left out.
+
+    At most k rows for each row of the tile come out, however dense it is; no set of all close pairs is ever held.
+    """
+    by_q, by_x = np.argsort(qi, kind="stable"), np.argsort(xi, kind="stable")
+    qi, q, xi, x = qi[by_q], q[by_q], xi[by_x], x[by_x]
+    best_q, best_x = _Best(len(q), k), _Best(len(x), k)
+    for s in range(0, len(q), _ASK):
+        for t, end in ((0, min(_FIRST, len(x))), (_FIRST, len(x))):
+            if t >= end:
+                continue
+            own, other = slice(s, s + _ASK), slice(t, end)
+            a, b, dist = adaptive_scan(q[own], x[other], np.minimum(best_q.dist[own, -1], radius2), np.minimum(best_x.dist[other, -1], radius2))
+            fresh = qi[s + a] != xi[t + b]
+            a, b, dist = a[fresh], b[fresh], dist[fresh]
+            if len(a) > 4 * k * (_ASK + end - t):
+                # Only the k nearest of a row or of a column can count.
+                grid = np.full((len(q[own]), len(x[other])), np.inf, dtype=np.float32)
+                grid[a, b] = dist
+                rows = np.partition(grid, min(k, grid.shape[1]) - 1, axis=1)[:, min(k, grid.shape[1]) - 1]
+                columns = np.partition(grid, min(k, grid.shape[0]) - 1, axis=0)[min(k, grid.shape[0]) - 1]
+                near = (dist <= rows[a]) | (dist <= columns[b])
+                a, b, dist = a[near], b[near], dist[near]
+            best_q.add(s + a, t + b, dist)
+            best_x.add(t + b, s + a, dist)
+    a, i = np.nonzero(best_q.who >= 0)
+    b, j = np.nonzero(best_x.who >= 0)
+    pairs = np.unique(np.concatenate([np.stack([a, best_q.who[a, i]]), np.stack([best_x.who[b, j], b])], axis=1), axis=1)
+    return pd.DataFrame({"a": qi[pairs[0]], "b": xi[pairs[1]], "sim": _cosines(q, pairs[0], x, pairs[1])})
+
+
+def _cosines(q: np.ndarray, a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of row pairs in double precision, a bounded number at a time."""
+    parts = [
+        np.einsum("ij,ij->i", q[a[s : s + _GATHER]].astype(np.float64), x[b[s : s + _GATHER]].astype(np.float64)) for s in range(0, len(a), _GATHER)
+    ]
+    return np.round(np.concatenate([np.zeros(0), *parts]), 6)
 
 
 def exact_nearest(asking: DataFrame, classes: DataFrame, k: int, dim: int) -> DataFrame:
@@ -125,9 +220,9 @@ def exact_nearest(asking: DataFrame, classes: DataFrame, k: int, dim: int) -> Da
             same = np.nonzero(xi[at] == ids)[0]
             sim[same, at[same]] = -3
             # A margin for single precision; what lies within it is compared again in double precision.
-            floor = np.maximum(np.partition(sim, -k, axis=1)[:, -k] - 1e-5 if len(x) > k else -2, -2)
+            floor = np.maximum(np.partition(sim, -k, axis=1)[:, -k] - 2e-6 if len(x) > k else -2, -2)
             a, b = np.nonzero(sim >= np.broadcast_to(floor, len(some))[:, None])
-            exact = np.round(np.einsum("ij,ij->i", some[a].astype(np.float64), x[b].astype(np.float64)), 6)
+            exact = _cosines(some, a, x, b)
             best = np.lexsort((b, -exact, a))
             a, b, exact = a[best], b[best], exact[best]
             keep = np.arange(len(a)) - np.searchsorted(a, a) < k
@@ -140,60 +235,94 @@ def exact_nearest(asking: DataFrame, classes: DataFrame, k: int, dim: int) -> Da
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def similar_vectors(
-    table: DataFrame, k: int = 5, least: float = 0.8, dim: int = 128, probes: int = PROBES, max_lists: int = MAX_LISTS, fill: bool = False
-) -> DataFrame:
-    """For every usable vector of ``table`` (id, vector) its ``k`` most similar others of cosine ``least`` or more.
+class _Index:
+    """Fitted lists: centroids and rotation, shared with the executors."""
 
-    With ``fill``, vectors that have fewer than ``k`` of these get their ``k`` most similar others of any cosine, found by
-    ``exact_nearest``; ``least`` then only says how far the lists are trusted.
+    def __init__(self, spark, units: np.ndarray, lists: int):
+        dim = units.shape[1]
+        turn = np.linalg.qr(np.random.default_rng(11).standard_normal((dim, dim)))[0].astype(np.float32)
+        centroids = _fit(units @ turn, lists)
+        self.lists, self.dim = len(centroids), dim
+        self.shared = spark.sparkContext.broadcast((centroids, turn))
 
-    Vectors of equal direction form one class and are searched once: their members are each other's neighbours, the smallest ids
-    first, so a group of copies of any size costs one row each. Ties of similarity go to the smaller id.
-    The number of lists grows with the square root of the rows up to ``max_lists``; each vector is compared in its ``probes`` nearest
-    lists, and a pair found from either side counts for both. Every row is indexed. Unusable rows are left out, see
-    ``unit_vectors``. Fewer than two usable vectors give no rows. Result: id, other_id, similarity, rank (from 1).
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """All lists of each rotated row, nearest first."""
+        return np.argsort(-(x @ self.shared.value[0].T), axis=1, kind="stable")
+
+    def near(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Home list of each rotated row, and its probed lists row by row; a bounded matrix at a time."""
+        centroids, step = self.shared.value[0], max(1, 4_000_000 // self.lists)
+        home, probed = [np.zeros(0, dtype=np.int64)], [np.zeros((0, probes), dtype=np.int64)]
+        for s in range(0, len(x), step):
+            sim = x[s : s + step] @ centroids.T
+            home.append(sim.argmax(axis=1))
+            probed.append(np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < self.lists else np.tile(np.arange(self.lists), (len(sim), 1)))
+        return np.concatenate(home), np.concatenate(probed).ravel()
+
+
+def _needed_probes(index: _Index, classes: DataFrame, trials: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, probes needed) of the true ``k`` nearest of the sampled queries ``trials``, found by one pass over all classes.
+
+    A neighbour is found once its home list is among the query's probed lists, or the query's home among the neighbour's.
     """
-    vectors = cut(unit_vectors(table, dim))
-    spark = vectors.sparkSession
-    schema = "id long, other_id long, similarity double, rank int"
-    classes = cut(vectors.groupBy("direction").agg(F.min_by("unit", "id").alias("unit"), F.min("id").alias("class_id"), F.count("*").alias("n")))
-    n = classes.count()
-    if not n:
-        return spark.createDataFrame([], schema)
-    members = vectors.select("id", "direction").join(classes.select("direction", "class_id"), "direction").select("id", "class_id")
-    sample = _matrix([r["unit"] for r in classes.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("unit").toLocalIterator()], dim)
-    lists = max(1, min(max_lists, round(math.sqrt(n) / 4), len(sample) // 8))
-    rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((dim, dim)))[0].astype(np.float32)
-    shared = spark.sparkContext.broadcast((_fit(sample @ rotation, lists), rotation))
-    probes = min(probes, lists)
-
-    def near(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home list of each row, and its probed lists row by row."""
-        sim = x @ centroids.T
-        probed = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (len(x), 1))
-        return sim.argmax(axis=1), probed.ravel()
+    asked = index.shared.value[1]
+    qi, q = np.array([r["class_id"] for r in trials]), _matrix([r["unit"] for r in trials], index.dim) @ asked
+    known = classes.sparkSession.sparkContext.broadcast((qi, q))
+
+    def run(batches):
+        qi, q = known.value
+        order = index.ranked(q)
+        rank = np.argsort(order, axis=1)
+        for b in batches:
+            for s in range(0, len(b), 2048):
+                part = b.iloc[s : s + 2048]
+                xi, x = part["class_id"].to_numpy(), _matrix(part["unit"], index.dim) @ index.shared.value[1]
+                sim = q @ x.T
+                sim[qi[:, None] == xi[None, :]] = -3
+                n = min(k, len(xi))
+                best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+                a, c = np.repeat(np.arange(len(qi)), n), best.ravel()
+                ok = sim[a, c] > -2
+                a, c = a[ok], c[ok]
+                rows, at = np.unique(c, return_inverse=True)
+                theirs = np.argsort(index.ranked(x[rows]), axis=1)
+                home = theirs.argmin(axis=1)
+                need = np.minimum(rank[a, home[at]], theirs[at, order[a, 0]]) + 1
+                yield pd.DataFrame({"q": qi[a], "id": xi[c], "sim": sim[a, c].astype(np.float64), "need": need})
+
+    found = classes.select("class_id", "unit").mapInPandas(run, "q long, id long, sim double, need long")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k)
+    rows = best.select("sim", "need").collect()  # at most k rows for each of TRIALS queries
+    return np.array([r["sim"] for r in rows]), np.array([r["need"] for r in rows], dtype=np.int64)
+
+
+def _probes(need: np.ndarray, recall: float) -> int:
+    """Fewest probes that find the share ``recall`` of the neighbours."""
+    return int(np.sort(need)[math.ceil(recall * len(need)) - 1]) if len(need) else 1
+
+
+def _search_lists(index: _Index, classes: DataFrame, k: int, probes: int, least: float | None) -> DataFrame:
+    """The ``k`` best found (a, b, sim) of every class, each compared in its ``probes`` nearest lists; a pair found from either side counts for both."""
+    dim, lists, probes = index.dim, index.lists, min(probes, index.lists)
 
     def count(batches):
-        centroids, turn = shared.value
         total = np.zeros((2, lists), dtype=np.int64)
         for b in batches:
             if len(b):
-                home, probed = near(_matrix(b["unit"], dim) @ turn, centroids)
+                home, probed = index.near(_matrix(b["unit"], dim) @ index.shared.value[1], probes)
                 total += np.stack([np.bincount(home, minlength=lists), np.bincount(probed, minlength=lists)])
         yield pd.DataFrame({"list": np.arange(lists), "n_rows": total[0], "n_asks": total[1]})
 
     def assign(batches):
-        centroids, turn = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            x = _matrix(b["unit"], dim) @ turn
-            home, probed = near(x, centroids)
-            raw = np.array([r.tobytes() for r in x], dtype=object)
-            ids = b["class_id"].to_numpy()
-            yield pd.DataFrame({"list": home, "class_id": ids, "asks": False, "x": raw})
-            yield pd.DataFrame({"list": probed, "class_id": np.repeat(ids, probes), "asks": True, "x": np.repeat(raw, probes)})
+            for s in range(0, len(b), step := max(1, 60_000 // probes)):
+                part = b.iloc[s : s + step]
+                x = _matrix(part["unit"], dim) @ index.shared.value[1]
+                home, probed = index.near(x, probes)
+                raw = np.array([r.tobytes() for r in x], dtype=object)
+                ids = part["class_id"].to_numpy()
+                yield pd.DataFrame({"list": home, "class_id": ids, "asks": False, "x": raw})
+                yield pd.DataFrame({"list": probed, "class_id": np.repeat(ids, probes), "asks": True, "x": np.repeat(raw, probes)})
 
     # List sizes take a second, cheap assignment, so that the replicated vectors are shuffled once and stored nowhere.
     sizes = classes.select("unit").mapInPandas(count, "list int, n_rows long, n_asks long").groupBy("list").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_asks").alias("n_asks"))
@@ -209,30 +338,56 @@ def similar_vectors(
         "list", "class_id", "asks", "x",
         F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("xb"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"),
     )
-    radius2 = 2 - 2 * least
+    radius2 = math.inf if least is None else 2 - 2 * least + 1e-4
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        q, x = _matrix(group["x"][asks], dim), _matrix(group["x"][~asks], dim)
-        qi, xi = group["class_id"].to_numpy()[asks], group["class_id"].to_numpy()[~asks]
-        out = []
-        for s in range(0, len(q), 512):
-            a, b = adaptive_scan(q[s : s + 512], x, radius2 + 1e-4)
-            sim = np.einsum("ij,ij->i", q[s + a].astype(np.float64), x[b].astype(np.float64))
-            left, right = qi[s + a], xi[b]
-            keep = (left != right) & (sim >= least)
-            out.append(pd.DataFrame({"a": left[keep], "b": right[keep], "sim": sim[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
+        asks, ids = group["asks"].to_numpy(), group["class_id"].to_numpy()
+        # Two more than k, as single precision may order near ties otherwise.
+        out = nearest_in_tile(ids[asks], _matrix(group["x"][asks], dim), ids[~asks], _matrix(group["x"][~asks], dim), k + 2, radius2)
+        return out if least is None else out[out["sim"] >= least]
 
     found = tiled.groupBy("list", "xb", "qb").applyInPandas(scan, "a long, b long, sim double")
-    # Either side may have found a pair. Rounding makes both directions' similarities equal.
-    sim = F.round("sim", 6)
-    both = found.select("a", "b", sim.alias("sim")).union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), sim.alias("sim")))
-    pairs = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    pairs = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    if fill:
-        pairs = cut(pairs)
+    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def similar_vectors(table: DataFrame, k: int = 5, least: float | None = None, dim: int = 128, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
+    """For every usable vector of ``table`` (id, vector) its ``k`` most similar others, or those of cosine ``least`` or more among them.
+
+    Vectors of equal direction form one class and are searched once: their members are each other's neighbours, the smallest ids
+    first, so a group of copies of any size costs one row each. Ties of similarity go to the smaller id.
+
+    The number of lists grows with the square root of the rows. So many lists of each vector are probed (with ``least``, ``probes`` at least) that
+    the share ``recall`` of a sample's true neighbours is found. Without ``least``, if that would take more than a quarter of all lists (vectors
+    without structure have no near lists), lists are searched for neighbours of cosine TRUSTED or more only, and vectors that have fewer than
+    ``k`` of these are compared with all vectors in tiles by ``exact_nearest``. Either way each vector gets its whole ``k``.
+    Every row is indexed. Unusable rows are left out, see ``unit_vectors``. Fewer than two usable vectors give no rows.
+    Result: id, other_id, similarity, rank (from 1).
+    """
+    vectors = cut(unit_vectors(table, dim))
+    spark = vectors.sparkSession
+    schema = "id long, other_id long, similarity double, rank int"
+    classes = cut(vectors.groupBy("direction").agg(F.min_by("unit", "id").alias("unit"), F.min("id").alias("class_id"), F.count("*").alias("n")))
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    members = vectors.select("id", "direction").join(classes.select("direction", "class_id"), "direction").select("id", "class_id")
+    want = round(math.sqrt(n) / 4)
+    size = min(MAX_SAMPLE, max(SAMPLE, 8 * want))
+    picked = classes.where(F.pmod(F.xxhash64("class_id"), F.lit(1_000_000_007)) < F.lit(max(1, math.ceil(min(1.0, size / n) * 1_000_000_007))))
+    sample = sorted(picked.select("class_id", "unit").collect(), key=lambda r: r["class_id"])  # about `size` rows
+    units = _matrix([r["unit"] for r in sample] or [r["unit"] for r in classes.limit(1).collect()], dim)
+    index = _Index(spark, units, max(1, min(want, len(units) // 8)))
+    trials = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
+    sim, need = _needed_probes(index, classes, trials, k) if trials else (np.zeros(0), np.zeros(0, dtype=np.int64))
+    close = max(probes, _probes(need[sim >= (TRUSTED if least is None else least)], recall))
+    everything = _probes(need, recall)
+    if least is not None:
+        pairs = _search_lists(index, classes, k, close, least)
+    else:
+        whole = 4 * everything <= index.lists
+        pairs = cut(_search_lists(index, classes, k, everything if whole else close, None if whole else TRUSTED))
         # A class of k near classes is served, and so is one of more than k members.
         have = pairs.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("near"))
         short = classes.join(have, "class_id", "left").where((F.coalesce("near", F.lit(0)) < k) & (F.col("n") <= k))
