@@ -12,35 +12,38 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut, require_columns
+from tidemark.runtime import cut, cut_counting, require_columns
 
 
 def _lookup(pieces: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces)
 
 
-def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False, weight: str | None = None) -> DataFrame:
     """Root and depth (and path) of every node of ``nodes`` (id LONG, parent_id LONG).
 
     One row per id is expected; exact repeats are dropped and of conflicting rows the smallest parent holds. A null id is no
     node. A parent that is null or names no node makes the node a root (depth 0, own root). A node on a loop or below
     one has depth -1, as root the smallest id on that loop, and a null path. A node that is its own parent is a loop.
     An empty table gives no rows; extra columns are ignored.
+    With ``weight``, a LONG column of ``nodes`` that says how far a node lies from its parent, depth is the sum of these weights from the root.
     Result: id, root_id, depth LONG and, with paths, path ARRAY<LONG> from the root to the node. The size of all paths is
     the sum of depths, so ask for paths only where they are needed.
     """
-    require_columns(nodes, ["id", "parent_id"])
-    own = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id")).where("id IS NOT NULL")
-    own = own.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    require_columns(nodes, ["id", "parent_id", *[weight] * bool(weight)])
+    far = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    own = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id"), far.alias("far")).where("id IS NOT NULL")
+    # Of equal parents the smallest weight holds.
+    own = own.groupBy("id").agg(F.min("parent_id").alias("parent_id"), F.min_by("far", F.struct("parent_id", "far")).alias("far"))
     names = own.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    linked = own.join(names, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    linked = own.join(names, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "far")
     # path: the ids after the ancestor `up`, down to the node itself.
     seg = [F.array("id").alias("path")] if with_paths else []
-    start = cut(linked.select("id", "up", F.lit(1).cast("long").alias("steps"), *seg))
+    start, left = cut_counting(linked.select("id", "up", F.col("far").alias("steps"), *seg), F.col("up").isNotNull())
     paths = ["path"] if with_paths else []
     done = [start.where("up IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), *paths)]
     open_ = start.where("up IS NOT NULL")
-    left, rounds = open_.count(), 0
+    rounds = 0
     while left:
         # Resolved targets first: they end the walk. Unresolved ones lend their pointer.
         ends = _lookup(done).select(F.col("id").alias("up"), "root_id", "depth", *[F.col("path").alias("head") for _ in paths])
@@ -48,16 +51,18 @@ def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
         both = ends.withColumns({"next": F.lit(None).cast("long"), "more": F.lit(None).cast("long"), **({"mid": F.lit(None).cast("array<long>")} if paths else {})}).unionByName(
             hops.withColumns({"root_id": F.lit(None).cast("long"), "depth": F.lit(None).cast("long"), **({"head": F.lit(None).cast("array<long>")} if paths else {})})
         )
-        moved = cut(
+        before = left
+        moved, left = cut_counting(
             open_.join(both, "up").select(
                 "id", "root_id", "next",
                 (F.col("depth") + F.col("steps")).alias("depth"), (F.col("more") + F.col("steps")).alias("steps"),
                 *[F.concat(F.coalesce("head", "mid"), "path").alias("path") for _ in paths],
-            )
+            ),
+            F.col("root_id").isNull(),
         )
         done.append(moved.where("root_id IS NOT NULL").select("id", "root_id", "depth", *paths))
         open_ = moved.where("root_id IS NULL").select("id", F.col("next").alias("up"), "steps", *paths)
-        before, left, rounds = left, open_.count(), rounds + 1
+        rounds += 1
         # A walk without a loop that is unresolved now has more than 2^rounds ancestors, all but 2^rounds of which are
         # unresolved as well. So with no more unresolved nodes before than steps made, only loops are left.
         if left and before <= 2 ** (rounds - 1):
@@ -65,22 +70,20 @@ def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
     resolved = _lookup(done)
     if not left:
         return resolved
-    return resolved.unionByName(_loops(open_, linked).withColumns({p: F.lit(None).cast("array<long>") for p in paths}))
+    return resolved.unionByName(_loops(open_, start).withColumns({p: F.lit(None).cast("array<long>") for p in paths}))
 
 
-def _loops(open_: DataFrame, linked: DataFrame) -> DataFrame:
+def _loops(open_: DataFrame, start: DataFrame) -> DataFrame:
     """Depth -1 and the loop's smallest id for nodes whose pointer has walked at least as many steps as there are open nodes."""
     # After that many steps each pointer stands on a loop, and every loop node is some pointer's target.
-    ring = cut(open_.select(F.col("up").alias("id")).distinct().join(linked, "id").select("id", "up", F.col("id").alias("low")))
-    size, span = ring.count(), 1
-    while span < size:
+    ring, size = cut_counting(open_.select(F.col("up").alias("id")).distinct().join(start.select("id", "up"), "id").select("id", "up", F.col("id").alias("low")), F.lit(True))
+    span, changed = 1, 1
+    while span < size and changed:
+        # Once windows of the doubled length found nothing smaller anywhere, every loop has seen its smallest id.
         ahead = ring.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("other"))
-        moved = cut(ring.join(ahead, "up").select("id", F.col("next").alias("up"), F.least("low", "other").alias("low")))
-        changed = moved.join(ring.select("id", F.col("low").alias("was")), "id").where("low <> was").limit(1).count()
-        ring, span = moved, span * 2
-        if not changed:
-            # Windows of the doubled length found nothing smaller anywhere: every loop has seen its smallest id.
-            break
+        moved = ring.join(ahead, "up").select("id", F.col("next").alias("up"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("less"))
+        ring, changed = cut_counting(moved, F.col("less"))
+        span *= 2
     low = ring.select(F.col("id").alias("up"), F.col("low").alias("root_id"))
     return open_.join(low, "up").select("id", "root_id", F.lit(-1).cast("long").alias("depth"))
 
@@ -106,10 +109,11 @@ def all_descendants(nodes: DataFrame) -> DataFrame:
     # over all of these few nodes, with a small plan in each round.
     up = F.when(F.col("id") != F.col("low"), F.col("parent_id"))
     opened = cut(stuck.select("id", F.col("low").alias("root_id"), up.alias("up"), F.array("id").alias("path")))
-    while opened.where("up IS NOT NULL").limit(1).count():
+    left = 1
+    while left:
         hops = opened.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
         path = F.concat(F.coalesce("head", F.array().cast("array<long>")), "path")
-        opened = cut(opened.join(hops, "up", "left").select("id", "root_id", F.col("next").alias("up"), path.alias("path")))
+        opened, left = cut_counting(opened.join(hops, "up", "left").select("id", "root_id", F.col("next").alias("up"), path.alias("path")), F.col("up").isNotNull())
     rings = stuck.where("id = low").select("low", F.col("parent_id").alias("id")).join(opened.select("id", "path"), "id").select(F.col("low").alias("root_id"), F.col("path").alias("ring"))
     # What of the loop is not on the path lies behind its smallest node, the far end first.
     around = opened.join(rings, "root_id").select("id", F.size("path").alias("n"), F.posexplode(F.reverse(F.array_except("ring", "path"))).alias("pos", "ancestor_id"))

@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Iterable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 # Functions of this package travel to the executors with the tasks, so nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules["tidemark"])
@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``df`` cut as by ``cut``, and its number of rows that meet ``condition``, counted in the same pass."""
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    done = df.observe(seen, F.count_if(condition).alias("n")).checkpoint(eager=True)
+    return done, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
