@@ -2,20 +2,34 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm.conversations import assemble_fragments, rebuild_conversations
+import pytest
+
+from tidemark.llm.conversations import assemble_fragments, export_fragments, read_rows, rebuild_conversations, rebuild_from_fragments
 
 FR = "conversation long, fragment long, hashes array<long>, place string"
 MS = "conversation long, message_id long, at long, author string, role string, visible boolean, opening boolean, position string"
 
 
-def assemble(spark, frags, **kw):
+def assemble(spark, frags):
     df = spark.createDataFrame([(*f, "clash") for f in frags], FR)
-    return {r["fragment"]: (r["head"], r["place"]) for r in assemble_fragments(df, **kw).collect()}
+    return {r["fragment"]: (r["head"], r["offset"]) for r in assemble_fragments(df).collect()}
 
 
 def test_overlaps_of_any_length_and_shuffled_ids(spark):
     frags = [(1, 30, [1, 2, 3, 4]), (1, 10, [3, 4, 5]), (1, 20, [5, 6]), (2, 40, [1, 2, 3, 4])]
-    assert assemble(spark, frags) == {30: (30, 0), 10: (30, 1), 20: (30, 2), 40: (40, 0)}
+    assert assemble(spark, frags) == {30: (30, 0), 10: (30, 2), 20: (30, 4), 40: (40, 0)}
+
+
+@pytest.mark.parametrize("overlap", [1, 5, 50])
+def test_long_overlaps_in_any_order(spark, overlap):
+    step = 60
+    frags = [(1, 7 * i % 11, list(range(step * i, step * i + step + overlap))) for i in range(6)]
+    assert assemble(spark, frags) == {7 * i % 11: (0, step * i) for i in range(6)}
+
+
+def test_contained_fragments_are_absorbed(spark):
+    frags = [(1, 1, list(range(20))), (1, 2, list(range(5, 9))), (1, 3, list(range(15, 30))), (1, 4, list(range(20))[:4]), (1, 5, list(range(25, 30))), (1, 6, [6, 7])]
+    assert assemble(spark, frags) == {1: (1, 0), 2: (1, 5), 3: (1, 15), 4: (1, 0), 5: (1, 25), 6: (1, 6)}
 
 
 def test_gap_ambiguity_circle_and_copies(spark):
@@ -27,7 +41,7 @@ def test_gap_ambiguity_circle_and_copies(spark):
 
 
 def test_longest_overlap_wins(spark):
-    assert assemble(spark, [(1, 1, [7, 8, 7]), (1, 2, [8, 7, 9]), (1, 3, [9, 5])]) == {1: (1, 0), 2: (1, 1), 3: (1, 2)}
+    assert assemble(spark, [(1, 1, [7, 8, 7]), (1, 2, [8, 7, 9]), (1, 3, [9, 5])]) == {1: (1, 0), 2: (1, 1), 3: (1, 3)}
 
 
 def test_no_and_empty_fragments(spark):
@@ -73,5 +87,25 @@ def test_ties_by_id_and_a_long_conversation_over_many_pages(spark):
     assert not got[1]["broken"] and placed == [(1, i - 1, i) for i in range(1, n + 1)]
 
 
+def test_a_missing_export_is_a_gap(spark):
+    rows = [msg(c, c + i, i * 7_000_000 // (1 + i % 2), "user" if i % 2 == 0 else "assistant") for c in (1000, 5000) for i in range(100)]
+    read = read_rows(spark.createDataFrame(rows, MS))
+    frags = export_fragments(read.select("conversation", "message_id", "at", "author", "role"), 8)
+    whole = frags.collect()
+    assert sum(r["conversation"] == 1000 for r in whole) > 6 and max(len(r["hashes"]) for r in whole) <= 32
+    rebuilt = lambda f: {r["conversation"]: r["gap"] for r in rebuild_from_fragments(read, f)[0].collect()}
+    assert rebuilt(frags) == {1000: False, 5000: False}
+    # Its neighbours overlap with it, but not with one another.
+    order = sorted((r for r in whole if r["conversation"] == 1000), key=lambda r: r["own"][0]["at"])
+    assert rebuilt(frags.where(frags["fragment"] != order[2]["fragment"])) == {1000: True, 5000: False}
+
+
+def test_many_messages_of_one_hour_and_instant(spark):
+    rows = [msg(1, i, 5 if i < 60 else i, "user" if i % 2 else "assistant") for i in range(1, 201)]
+    random.Random(3).shuffle(rows)
+    got, placed = rebuild(spark, rows, page=8)
+    assert not got[1]["broken"] and placed == [(1, i - 1, i) for i in range(1, 201)]
+
+
 def test_empty_table(spark):
     assert rebuild(spark, []) == ({}, [])

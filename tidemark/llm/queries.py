@@ -11,7 +11,7 @@ from tidemark.llm.language import document_languages, language_segments, mislabe
 from tidemark.llm.leakage import leaked_items, remove_leaked
 from tidemark.llm.tokenization import decode_corpus, encode_corpus
 from tidemark.llm.vectors import similar_vectors
-from tidemark.runtime import load
+from tidemark.runtime import cut, load
 
 # ---- problem 1: conversations
 
@@ -27,6 +27,8 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
         "thread_id", F.col("id").alias("message_id"), N.instant_ms(F.col("timestamp")).alias("at"), author.alias("author"),
         role.alias("role"), N.visible(F.col("message")).alias("visible"),
     )
+    # The table is read once; copies of a row are left out before anything is joined.
+    rows = cut(rows.groupBy("message_id").agg(F.max(F.struct("thread_id", "at", "author", "role", "visible")).alias("m")).select("message_id", "m.*"))
     threads = rows.where("thread_id IS NOT NULL").select(F.col("thread_id").alias("conversation")).distinct()
     inside = rows.where("thread_id IS NOT NULL").withColumnRenamed("thread_id", "conversation")
     opening = rows.drop("thread_id").join(threads, F.col("message_id") == F.col("conversation"))
