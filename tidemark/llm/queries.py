@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import normalize as N
 from tidemark.llm.conversations import rebuild_conversations
 from tidemark.llm.language import document_languages, language_segments, mislabelled
-from tidemark.llm.leakage import leaked_items, remove_leaked
+from tidemark.llm.leakage import leaked_items, leaked_passages, remove_leaked
 from tidemark.llm.tokenization import decode_corpus, encode_corpus
 from tidemark.llm.vectors import similar_vectors
 from tidemark.runtime import cut, load
@@ -114,7 +114,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d)
+    """All places of all leaked passages."""
+    return leaked_passages(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
