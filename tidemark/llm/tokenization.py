@@ -1,7 +1,7 @@
 """Token ids of a whole corpus: each distinct pre-token is encoded once.
 
 Texts are split to pre-tokens with positions inside the JVM, distinct pre-tokens are encoded by the public vocabulary, and the
-ids are joined back and reassembled by position. Pre-tokens that make up a fixed share of the corpus are a bounded set
+ids are joined back and reassembled by position. A word of one or two ids, as most are, is one number with its position on the way. Pre-tokens that make up a fixed share of the corpus are a bounded set
 and travel by broadcast, so no hot word meets a shuffle; the rest is joined by word.
 """
 
@@ -20,6 +20,8 @@ from tidemark.runtime import cut, require_columns, tokenizer_file
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A pre-token is hot from this share of all pre-tokens; so there are at most 1 / HOT_SHARE hot ones.
 HOT_SHARE = 1 / 20_000
+#: Ids below this are packed, up to two and a position into one number.
+_SMALL = 1 << 16
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -63,22 +65,36 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, hot_share: flo
         coder = _encoding(path)
         for b in batches:
             ids = [coder.encode_ordinary(w) for w in b["word"]]
-            yield pd.DataFrame({"word": b["word"], "n": b["n"], "ids": ids})
+            fits = [len(i) <= 2 and max(i) < _SMALL for i in ids]
+            yield pd.DataFrame({
+                "word": b["word"], "n": b["n"], "width": [len(i) if f else 0 for i, f in zip(ids, fits)],
+                "code": [(i[0] if len(i) == 1 else i[0] * _SMALL + i[1]) if f else 0 for i, f in zip(ids, fits)],
+                "ids": [None if f else i for i, f in zip(ids, fits)],
+            })
 
     counted = words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
-    vocab = cut(counted.mapInPandas(encode, "word string, n long, ids array<int>"))
+    vocab = cut(counted.mapInPandas(encode, "word string, n long, width int, code long, ids array<int>"))
     total = vocab.agg(F.sum("n")).first()[0] or 0
     is_hot = F.col("n") >= F.lit(total * hot_share)
-    hot = vocab.where(is_hot).select("word", "ids")
+    coded = ["width", "code", "ids"]
+    hot = vocab.where(is_hot).select("word", *coded)
     seen = words.join(F.broadcast(hot), "word", "left")
-    placed = seen.where("ids IS NOT NULL OR word IS NULL").select("doc_id", "pos", "ids")
-    cold = seen.where("ids IS NULL AND word IS NOT NULL").select("doc_id", "pos", "word")
-    placed = placed.unionByName(cold.join(vocab.where(~is_hot).select("word", "ids"), "word").select("doc_id", "pos", "ids"))
-    parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))))
-    ordered = placed.groupBy("doc_id").agg(parts.alias("parts"))
+    placed = seen.where("width IS NOT NULL OR word IS NULL").select("doc_id", "pos", *coded)
+    cold = seen.where("width IS NULL AND word IS NOT NULL").select("doc_id", "pos", "word")
+    placed = placed.unionByName(cold.join(vocab.where(~is_hot).select("word", *coded), "word").select("doc_id", "pos", *coded))
+    pos = F.col("pos").cast("long")
+    ordered = placed.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("width") == 1, pos * _SMALL + F.col("code"))).alias("ones"),
+        F.collect_list(F.when(F.col("width") == 2, pos * (_SMALL * _SMALL) + F.col("code"))).alias("twos"),
+        F.collect_list(F.when(F.col("width") == 0, F.struct(pos.alias("pos"), "ids"))).alias("more"),
+    )
+    high, low = lambda v: F.shiftright(v, 16), lambda v: v.bitwiseAND(F.lit(_SMALL - 1)).cast("int")
+    one = F.transform("ones", lambda v: F.struct(high(v).alias("pos"), F.array(low(v)).alias("ids")))
+    two = F.transform("twos", lambda v: F.struct(high(high(v)).alias("pos"), F.array(low(high(v)), low(v)).alias("ids")))
+    parts = ordered.select("doc_id", F.array_sort(F.concat(one, two, "more")).alias("parts"))
     # Repeated rows of a document bring a position twice, side by side.
     fresh = F.filter("parts", lambda p, i: (i == 0) | (p["pos"] != F.get("parts", i - 1)["pos"]))
-    return ordered.select("doc_id", F.flatten(F.transform(fresh, lambda p: p["ids"])).alias("ids"))
+    return parts.select("doc_id", F.flatten(F.transform(fresh, lambda p: p["ids"])).alias("ids"))
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
