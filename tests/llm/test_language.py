@@ -112,8 +112,8 @@ def test_empty_tables_and_no_labels(spark, model):
 
 
 def test_repair_bytes():
-    assert L.repair_bytes("Die Ã\x9cbersicht zÃ¤hlt") == "Die Übersicht zählt" and L.repair_bytes("naïve ÄÖ") == "naïve ÄÖ"
-    assert L.repair_bytes("Привет".encode().decode("cp1252", "replace").replace("�", "?")) is not None
+    assert L.repair_bytes("Die Ã\x9cbersicht zÃ¤hlt")[0] == "Die Übersicht zählt" and L.repair_bytes("naïve ÄÖ")[0] == "naïve ÄÖ"
+    assert L.repair_bytes("Привет".encode().decode("cp1252", "replace").replace("�", "?"))[0]
 
 
 def test_labelled_majority_of_the_corpus_agrees(spark):
@@ -123,3 +123,22 @@ def test_labelled_majority_of_the_corpus_agrees(spark):
     out = L.document_languages(docs.select("doc_id", "text", "lang")).where("n_languages = 1")
     known = out.withColumn("k", L.label_language(F.col("label"))).where("k IS NOT NULL")
     assert known.where("k = lang").count() > 0.8 * known.count()
+
+
+def test_units_say_where_they_stand():
+    text = "Intro one. Second sentence here!\n  // A comment that\n  // goes on. And ends\n- entry Ã¤Ã¶â€¦ done\nlast"
+    raw = [text[u.start : u.end] for u in L.units_of(text)]
+    assert raw == ["Intro one.", "Second sentence here!", "A comment that\n  // goes on.", "And ends", "entry Ã¤Ã¶â€¦", "done", "last"]
+    assert L.units_of("wait â€¦")[0].end == len("wait â€¦")
+
+
+def test_a_stored_model_is_the_same(spark):
+    rng = random.Random(5)
+    docs = [(i, text(rng, lang, 30), lang) for i, lang in enumerate(["en", "de", "fr"] * 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    L._FITTED.clear()
+    first = L.shared_models(df)
+    L._FITTED.clear()
+    again = L.shared_models(df)
+    assert again is not first and again.langs == first.langs and (again.bound == first.bound).all()
+    assert all((a == b).all() for name in ("keys", "logs", "contexts", "backs") for a, b in zip(getattr(first, name), getattr(again, name)))

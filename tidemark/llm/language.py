@@ -7,9 +7,12 @@ length-normalised cross-entropy, unless it is rejected by bounds calibrated on h
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import trim_unicode
-from tidemark.runtime import require_columns, spread
+from tidemark.runtime import ensure_checkpoint_dir, require_columns, spread
 
 #: Codes and English names of the eight languages.
 LABELS = {
@@ -67,7 +70,9 @@ def label_language(c):
 _BYTE = {bytes([b]).decode("cp1252"): b for b in range(128, 256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {chr(b): b for b in range(128, 256)}
 _HIGH = re.compile(f"[{re.escape(''.join(_BYTE))}]{{2,}}")
 _QUOTED = re.compile(r"""[(\[]?(?:"[^"\n]{1,90}"|“[^”\n]{1,90}”|„[^“”\n]{1,90}[“”]|«[^»\n]{1,90}»|`[^`\n]{1,90}`|(?<!\w)'[^'\n]{1,90}'(?!\w))[)\]]?""")
-_IDENTIFIER = re.compile(r"\S*(?:[A-Za-z]_[A-Za-z]|[a-z][A-Z]|[A-Za-z0-9]/[A-Za-z0-9]|\w\.\w+\(|://|\w@\w|\d[A-Za-z]|[A-Za-z]\d)\S*")
+_QUOTE = re.compile("[\"“„«`']")
+#: What makes the word it is in an identifier.
+_IDENTIFIER = re.compile(r"[A-Za-z]_[A-Za-z]|[a-z][A-Z]|[A-Za-z0-9]/[A-Za-z0-9]|\w\.\w+\(|://|\w@\w|\d[A-Za-z]|[A-Za-z]\d")
 _COMMENT = re.compile(r"^\s*(?://+!?|#+(?!\w)|\*+(?!/)|--+|/\*+|<!--|>+|%+|;+|\"\"\"|''')(?:\s+|$)")
 _LIST = re.compile(r"^\s*(?:(?:[-+•–·]\s+)?\[[ xX]?\]|[-+•–·]|\d{1,3}[.)])\s+")
 _LOG = re.compile(r"^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?|\d{4}-\d{2}-\d{2}[T ]|\[?(?:INFO|WARN|ERROR|DEBUG|OK|FAIL|SKIP)\b)")
@@ -78,66 +83,103 @@ _CODE_START = re.compile(
 _CODE_MARK = re.compile(r"[{}\[\]<>=$|\\^~]|\(\)|;\s*$|=>|::|->")
 _SPLIT = re.compile(r"(?<=[.!?…;。？！])[\"'”»)\]]*\s+")
 _INVISIBLE = dict.fromkeys([0x200B, 0x2060, 0x00AD, 0xFEFF])
+_MARKS = re.compile("[\u200b\u2060\u00ad\ufeff]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+_NUMBER = re.compile(r"^\s*#\d+\s+")
+_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
 
-def repair_bytes(text: str) -> str:
-    """UTF-8 that was read as a single-byte code page, put right run by run; anything else stays."""
-    if text.isascii():
-        return text
+def repair_bytes(text: str) -> tuple[str, list[int], list[int]]:
+    """UTF-8 that was read as a single-byte code page, put right run by run; anything else stays.
 
-    def fix(m):
+    The two lists say how places of the result map to ``text``: from each of the first on, add the second.
+    """
+    if text.isascii():
+        return text, [], []
+    parts, places, shifts, at, size, shift = [], [], [], 0, 0, 0
+    for m in _HIGH.finditer(text):
         try:
-            return bytes(_BYTE[c] for c in m.group()).decode("utf-8")
+            fixed = bytes(_BYTE[c] for c in m.group()).decode("utf-8")
         except UnicodeDecodeError:
-            return m.group()
-
-    return _HIGH.sub(fix, text)
+            continue
+        parts += [text[at : m.start()], fixed]
+        size += m.start() - at + len(fixed)
+        shift += m.end() - m.start() - len(fixed)
+        at = m.end()
+        places.append(size)
+        shifts.append(shift)
+    return "".join([*parts, text[at:]]) if parts else text, places, shifts
 
 
 def letters_of(unit: str) -> str:
     """Lower-case words of a unit, without quoted phrases, identifiers, digits and marks."""
-    unit = unit if unit.isascii() else unicodedata.normalize("NFKC", unit.translate(_INVISIBLE))
-    kept = _IDENTIFIER.sub(" ", _QUOTED.sub(" ", unit))
-    return _NOT_LETTER.sub(" ", kept.lower()).strip()
+    if not unit.isascii():
+        unit = unicodedata.normalize("NFKC", unit.translate(_INVISIBLE) if _MARKS.search(unit) else unit)
+    if _QUOTE.search(unit):
+        unit = _QUOTED.sub(" ", unit)
+    if _IDENTIFIER.search(unit):
+        unit = " ".join(w for w in unit.split() if not _IDENTIFIER.search(w))
+    return _NOT_LETTER.sub(" ", unit.lower()).strip()
 
 
 def is_code(line: str) -> bool:
     """Whether a line without comment mark is code, a log entry or markup, judged by its form alone."""
     if _LOG.match(line) or _CODE_START.match(line):
         return True
-    bare = _QUOTED.sub(" ", line)
+    bare = _QUOTED.sub(" ", line) if _QUOTE.search(line) else line
     return len(_CODE_MARK.findall(bare)) * 12 >= max(1, len(line.strip()))
 
 
 @dataclass
 class Unit:
-    """A sentence or list entry: its raw text, words, number of whole comment lines it covers, and what precedes it."""
+    """A sentence or list entry: its raw text, words, number of whole comment lines it covers, what precedes it, and its place in the document."""
 
     text: str
     words: str
     lines: int = 1
     after_code: bool = False
+    start: int = 0
+    end: int = 0
 
 
 def units_of(text: str | None) -> list[Unit]:
     """Units of prose in order. Lines of one paragraph or comment flow together; list entries stand alone; code breaks the flow."""
     out: list[Unit] = []
     flow: list[str] = []
+    starts: list[int] = []
     kind = ""
     broken = False
+    whole, places, shifts = repair_bytes(text or "")
+
+    def place(p: int) -> int:
+        i = bisect_right(places, p)
+        return p + shifts[i - 1] if i else p
 
     def close():
-        nonlocal flow, broken
+        nonlocal broken
         if not flow:
             return
-        pieces = [p for p in _SPLIT.split(" ".join(flow)) if p.strip()]
-        for p in pieces:
-            out.append(Unit(p, letters_of(p), len(flow) if kind == "comment" and len(pieces) == 1 else 1, broken))
+        joined, begins = flow[0], [0]
+        for more in flow[1:]:
+            begins.append(len(joined) + 1)
+            joined = f"{joined} {more}"
+        ends = [(m.start(), m.end()) for m in _SPLIT.finditer(joined)] + [(len(joined), len(joined))]
+        pieces, at = [], 0
+        for end, then in ends:
+            if joined[at:end].strip():
+                pieces.append((at, end))
+            at = then
+        for a, z in pieces:
+            i, j = bisect_right(begins, a) - 1, bisect_right(begins, z - 1) - 1
+            p = joined[a:z]
+            out.append(Unit(p, letters_of(p), len(flow) if kind == "comment" and len(pieces) == 1 else 1, broken, place(starts[i] + a - begins[i]), place(starts[j] + z - begins[j])))
             broken = False
-        flow = []
+        flow.clear()
+        starts.clear()
 
-    for line in re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", repair_bytes(text or "")):
+    at = 0
+    for stop, then in [*((m.start(), m.end()) for m in _BREAK.finditer(whole)), (len(whole), len(whole))]:
+        line, begin, at = whole[at:stop], at, then
         if not line.strip():
             if kind != "plain":
                 close()
@@ -152,12 +194,16 @@ def units_of(text: str | None) -> list[Unit]:
             close()
             kind, broken = "", True
             continue
-        bare = re.sub(r"^\s*#\d+\s+", "", bare).strip()
+        # Only what precedes it was taken off so far.
+        bare = _NUMBER.sub("", bare).lstrip()
+        begin += len(line) - len(bare)
+        bare = bare.rstrip()
         if now != kind or now == "list":
             close()
         kind = now
         if bare:
             flow.append(bare)
+            starts.append(begin)
     close()
     return out
 
@@ -390,22 +436,61 @@ def labelled_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, max_chars:
     return out
 
 
+def _packed(model: LanguageModels) -> bytes:
+    out = io.BytesIO()
+    arrays = {f"{name}{k}": x for name in ("keys", "logs", "contexts", "backs") for k, x in enumerate(getattr(model, name))}
+    np.savez_compressed(out, langs=np.array(model.langs, dtype="U2"), bound=model.bound, **arrays)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> LanguageModels:
+    with np.load(io.BytesIO(data), allow_pickle=False) as f:
+        model = LanguageModels([str(x) for x in f["langs"]], bound=f["bound"])
+        for name in ("keys", "logs", "contexts", "backs"):
+            setattr(model, name, [f[f"{name}{k}"] for k in range(sum(x.startswith(name) for x in f.files))])
+    return model
+
+
+_FITTED: dict[str, LanguageModels] = {}
+
+
+def shared_models(docs: DataFrame) -> LanguageModels:
+    """``train_models`` of ``labelled_sample(docs)``, fitted once for a sample and kept by a digest of it, in this process and in the checkpoint folder."""
+    spark, sample = docs.sparkSession, labelled_sample(docs)
+    digest = blake2b(digest_size=16)
+    for part in (ORDER, MIN_LETTERS, MIN_BOUND, RAW_STRAY_SHARE, STRAY_SHARE, *sample):
+        digest.update(repr(part).encode("utf-8", "surrogatepass"))
+    key = digest.hexdigest()
+    if key not in _FITTED:
+        ensure_checkpoint_dir(spark)
+        # The parent of the session's own checkpoint folder, so that sessions share it.
+        folder = f"{spark.sparkContext.getCheckpointDir().rpartition('/')[0]}/tidemark-language-models/{key}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            _FITTED[key] = _unpacked(bytes(spark.read.parquet(folder).first()["model"]))
+        else:
+            _FITTED[key] = train_models(sample)
+            spark.createDataFrame([(_packed(_FITTED[key]),)], "model binary").coalesce(1).write.mode("overwrite").parquet(folder)
+    return _FITTED[key]
+
+
 # ---- documents
 
-SEGMENTS = "doc_id long, label string, segment int, lang string, n_units int, n_lines int, confidence double, text string"
+SEGMENTS = "doc_id long, label string, segment int, lang string, n_units int, n_lines int, confidence double, start_char int, end_char int, text string"
 
 
 def language_segments(docs: DataFrame, model: LanguageModels | None = None, with_text: bool = False) -> DataFrame:
     """Segments of ``docs`` (doc_id LONG, text, lang): runs of units of one language, with confidence.
 
-    ``model`` is fitted on ``labelled_sample(docs)`` if not given. Undecided units neither make nor break a run; rejected units and code
+    ``model`` is that of ``shared_models(docs)`` if not given. Undecided units neither make nor break a run; rejected units and code
     do break it. Null, empty or blank texts and texts without a known language have no segments. Repeated rows give repeated
     segments. Extra columns are ignored. Result: doc_id, label, segment (from 0), lang, n_units, n_lines (comment lines
-    of a single-sentence comment), confidence (mean posterior) and text (where asked for).
+    of a single-sentence comment), confidence (mean posterior), start_char and end_char (place in the text in code points, from 0, the end
+    not included) and text (of its units, where asked for).
     """
     require_columns(docs, ["doc_id", "text", "lang"])
     if model is None:
-        model = train_models(labelled_sample(docs))
+        model = shared_models(docs)
     if not model.langs:
         return docs.sparkSession.createDataFrame([], SEGMENTS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -433,15 +518,16 @@ def _segments(b: pd.DataFrame, m: LanguageModels, with_text: bool) -> pd.DataFra
             if j < 0:
                 continue
             if fresh or not runs or runs[-1][0] != j:
-                runs.append([j, 0, 0, [], []])
+                runs.append([j, 0, 0, [], [], u.start, u.end])
             fresh = False
             r = runs[-1]
             r[1], r[2] = r[1] + 1, max(r[2], u.lines)
             r[3].append(p)
+            r[6] = u.end
             if with_text:
                 r[4].append(u.text)
-        rows += [(doc, label, i, m.langs[j], n, lines, float(np.mean(p)), " ".join(t)) for i, (j, n, lines, p, t) in enumerate(runs)]
-    return pd.DataFrame(rows, columns=["doc_id", "label", "segment", "lang", "n_units", "n_lines", "confidence", "text"])
+        rows += [(doc, label, i, m.langs[j], n, lines, float(np.mean(p)), a, z, " ".join(t)) for i, (j, n, lines, p, t, a, z) in enumerate(runs)]
+    return pd.DataFrame(rows, columns=["doc_id", "label", "segment", "lang", "n_units", "n_lines", "confidence", "start_char", "end_char", "text"])
 
 
 def document_languages(docs: DataFrame, model: LanguageModels | None = None) -> DataFrame:
