@@ -59,14 +59,3 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def tokenizer_file(name: str, path: str | None = None) -> str:
-    """Place of a public vocabulary file: ``path``, the TIDEMARK_TOKENIZERS folder, or the installed package."""
-    if path:
-        return path
-    if folder := os.environ.get("TIDEMARK_TOKENIZERS"):
-        return os.path.join(folder, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
