@@ -18,7 +18,7 @@ query = family.query
 P = V.PRELUDE
 
 
-@query("A1 V7", P + "SELECT name, count(*) AS n, count(DISTINCT path) AS n_files FROM x_symbols WHERE name IS NOT NULL GROUP BY name")
+@query("A1", P + "SELECT name, count(*) AS n, count(DISTINCT path) AS n_files FROM x_symbols WHERE name IS NOT NULL GROUP BY name")
 def occurrences(spark, d):
     return V.symbols(spark, d).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("path").alias("n_files"))
 
@@ -134,7 +134,7 @@ def reattribute_unique(spark, d):
     return c.join(lone.select("session", "who"), "session", "left").select("id", F.coalesce("handle", "who").alias("handle"))
 
 
-@query("A23 A25 D6 M19", P + """SELECT priority, count(*) AS n_tasks, count(telemetry_source) AS n_measured, median(total_tokens) FILTER (telemetry_source IS NOT NULL) AS median_tokens,
+@query("A23 A25 D6", P + """SELECT priority, count(*) AS n_tasks, count(telemetry_source) AS n_measured, median(total_tokens) FILTER (telemetry_source IS NOT NULL) AS median_tokens,
 median(updated_at - created_at) FILTER (telemetry_source IS NOT NULL) AS median_wall_ms FROM x_tasks WHERE state = 'done' GROUP BY priority""")
 def points_curve(spark, d):
     known = F.col("telemetry_source").isNotNull()
@@ -217,7 +217,7 @@ def top_hotspots(spark, d, limit: int = 5):
     return out.orderBy(F.desc("n"), F.desc("n_lines"), "path").limit(limit)
 
 
-@query("A33 S23", P + """SELECT count(*) AS n_files, sum(lines)::BIGINT AS n_lines, round(avg(lines), 2) AS mean_lines, arg_max(path, (lines, path)) AS largest, round(100.0 * count(*) FILTER (lines <= 100) / count(*), 1) AS compliant_pct FROM x_files""")
+@query("A33", P + """SELECT count(*) AS n_files, sum(lines)::BIGINT AS n_lines, round(avg(lines), 2) AS mean_lines, arg_max(path, (lines, path)) AS largest, round(100.0 * count(*) FILTER (lines <= 100) / count(*), 1) AS compliant_pct FROM x_files""")
 def file_metrics(spark, d):
     return V.files(spark, d).agg(
         F.count("*").alias("n_files"), F.sum("lines").alias("n_lines"), F.round(F.avg("lines"), 2).alias("mean_lines"),
@@ -271,7 +271,7 @@ def friction_summary(spark, d):
     return e.groupingSets([[F.col("event_type")], [F.col("band")], []], "event_type", "band").agg(F.grouping_id().alias("level"), F.count("*").alias("n")).select("event_type", "band", "level", "n")
 
 
-@query("A47 D1 D2", P + """, today AS (SELECT * FROM x_feed WHERE moment >= 1774915200000 AND coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.archived') END, '0') <> '1')
+@query("A47", P + """, today AS (SELECT * FROM x_feed WHERE moment >= 1774915200000 AND coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.archived') END, '0') <> '1')
 SELECT author, count(*) AS n, count(*) FILTER (event_type = 'commit') AS n_commits, count(*) FILTER (event_type = 'handoff') AS n_handoffs FROM today WHERE NOT starts_with(event_type, 'lock_') AND author IS NOT NULL GROUP BY author ORDER BY n DESC, author LIMIT 5""")
 def digest_since(spark, d, since: int = 1_774_915_200_000):
     """Busiest authors since a day's start, without lock noise and archived rows."""
@@ -286,7 +286,7 @@ def types_by_author(spark, d):
     return V.feed(spark, d).where("author IS NOT NULL").groupBy("author", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("A49 D7 R10", P + """SELECT t.id, CAST(floor((1775000000000 - max(f.moment)) / 3600000.0) AS BIGINT) AS idle_hours FROM x_tasks t JOIN x_feed f ON f.author = t.handle WHERE t.state = 'in_progress' GROUP BY t.id HAVING 1775000000000 - max(f.moment) >= 6 * 3600000""")
+@query("A49 D7", P + """SELECT t.id, CAST(floor((1775000000000 - max(f.moment)) / 3600000.0) AS BIGINT) AS idle_hours FROM x_tasks t JOIN x_feed f ON f.author = t.handle WHERE t.state = 'in_progress' GROUP BY t.id HAVING 1775000000000 - max(f.moment) >= 6 * 3600000""")
 def idle_claims(spark, d, now: int = 1_775_000_000_000):
     """Claimed tasks whose agent has been silent for six hours or more."""
     last = V.feed(spark, d).where("author IS NOT NULL").groupBy(F.col("author").alias("handle")).agg(F.max("at").alias("last"))

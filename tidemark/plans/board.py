@@ -120,7 +120,7 @@ def unanswered_waiters(spark, d):
     return f.where("event_type = 'lock_queued' AND author IS NOT NULL AND file_path IS NOT NULL").join(got, ["file_path", "author"], "left_anti").select("file_path", "author").distinct()
 
 
-@query("S20 R6", P + "SELECT s.id FROM x_symbols s WHERE s.path IN (SELECT path FROM x_files WHERE content_hash IS NOT NULL)")
+@query("S20", P + "SELECT s.id FROM x_symbols s WHERE s.path IN (SELECT path FROM x_files WHERE content_hash IS NOT NULL)")
 def seeded_rows(spark, d):
     """Symbol rows that a new checkout could take over, by files whose content hash is known."""
     from tidemark.sources.store import seed_from

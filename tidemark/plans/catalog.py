@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, board, graph, io, patterns, pipeline, relational, streams, text, windowed
+from tidemark.plans import aggregates, board, graph, io, ledger, patterns, pipeline, relational, streams, text, windowed
 
-FAMILIES = (pipeline, relational, aggregates, windowed, text, graph, patterns, board, streams, io)
+FAMILIES = (pipeline, relational, aggregates, windowed, text, graph, patterns, board, streams, io, ledger)
 
 
 def catalog() -> dict:

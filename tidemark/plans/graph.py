@@ -140,9 +140,9 @@ def ancestor_chains(spark, d):
     return r.select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("ancestors"))
 
 
-@query("G13", _TREE.replace("t AS (SELECT id AS top, id FROM n WHERE up IS NULL UNION ALL", "t AS (SELECT id AS top, id FROM n WHERE id NOT IN (SELECT id FROM loops) UNION ALL").replace(
-    ", n AS (", ", n0 AS (SELECT h.id, p.id AS up FROM x_tasks h LEFT JOIN x_tasks p ON p.id = h.parent_id AND h.parent_id <> 0), ok AS (SELECT id FROM n0 WHERE up IS NULL UNION ALL SELECT n0.id FROM ok JOIN n0 ON n0.up = ok.id), loops AS (SELECT id FROM n0 WHERE id NOT IN (SELECT id FROM ok)), n AS (", 1)
-    + " SELECT top, count(*) - 1 AS n_below FROM t GROUP BY top")
+@query("G13", P + """, n AS (SELECT h.id, p.id AS up FROM x_tasks h LEFT JOIN x_tasks p ON p.id = h.parent_id AND h.parent_id <> 0),
+climbs AS (SELECT id, id AS top, [id] AS seen FROM n UNION ALL SELECT c.id, n.up, list_append(c.seen, n.up) FROM climbs c JOIN n ON n.id = c.top WHERE n.up IS NOT NULL AND NOT list_contains(c.seen, n.up))
+SELECT top, count(*) - 1 AS n_below FROM climbs GROUP BY top""")
 def descendant_counts(spark, d):
     t = V.tasks(spark, d).select("id", F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("parent_id"))
     return all_descendants(t).groupBy(F.col("ancestor_id").alias("top")).agg((F.count("*") - 1).alias("n_below"))

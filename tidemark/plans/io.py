@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ query = family.query
 P = V.PRELUDE
 
 
-@query("S9 S11 S12 S25", "SELECT event_id, user_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
+@query("S9 S12 S25", "SELECT event_id, user_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
 def jsonl_roundtrip(spark, d):
     """Events appended as JSON lines and read back by schema; torn lines would be skipped."""
     path = stream_folder(spark)
@@ -52,7 +53,7 @@ def reimported_partitions(spark, d):
     return spark.read.parquet(path).groupBy("priority").agg(F.count("*").alias("n"))
 
 
-@query("S14 S15 R11", "SELECT 'calls' AS source, count(*) AS n, sum(id)::BIGINT AS ids FROM tool_calls UNION ALL SELECT 'feed', count(*), sum(id)::BIGINT FROM agent_feed")
+@query("S14", "SELECT 'calls' AS source, count(*) AS n, sum(id)::BIGINT AS ids FROM tool_calls UNION ALL SELECT 'feed', count(*), sum(id)::BIGINT FROM agent_feed")
 def federated_read(spark, d):
     """Two ledgers under one schema with their source; a third that is missing is reported, not fatal."""
     schema = T.StructType([T.StructField("id", T.LongType())])
@@ -102,17 +103,28 @@ def sync_actions(spark, d):
     return store.sync_plan(f, listed)
 
 
-@query("S1 S2 S8", "SELECT name, 'binary' AS kind FROM (VALUES ('files'), ('symbols')) t(name)")
-def scanned_tables(spark, d):
-    """The data folder scanned as a source tree: tables written under two names, found again and told from text."""
+@query("S1 S2 S8", P + """, l AS (SELECT doc_kind, count(*) AS n FROM x_lines WHERE doc_kind IS NOT NULL GROUP BY doc_kind)
+SELECT doc_kind AS folder, 'text' AS kind, n AS n_rows FROM l UNION ALL SELECT 'files', 'binary', count(*) FROM files UNION ALL SELECT 'build', 'binary', count(*) FROM symbols""")
+def scanned_tree(spark, d):
+    """A source tree of whole tables, scanned: texts and tables under src, and copies in folders that a scan leaves out, at the top or anywhere."""
     root = stream_folder(spark)
-    for name in ("files", "symbols"):
-        load(spark, d, name).limit(1).coalesce(1).write.parquet(f"{root}/{name}")
+    texts = V.lines(spark, d).where("doc_kind IS NOT NULL").select("doc_kind", F.col("text").alias("value"))
+    texts.write.partitionBy("doc_kind").text(f"{root}/src/texts")
+    load(spark, d, "files").write.parquet(f"{root}/src/files")
+    for path in ("src/build", "build", "src/vendor/symbols", "out/symbols"):
+        load(spark, d, "symbols").write.parquet(f"{root}/{path}")
     found = scan.scan_tree(spark, root, None, ["**/_SUCCESS", "**/.*"])
-    return found.where(F.col("path").endswith(".parquet")).select(F.split("path", "/")[0].alias("name"), "kind").distinct()
+    folder = F.regexp_extract("path", r"([^/=]+)/[^/]+$", 1)
+    at = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    folders = found.groupBy(folder.alias("folder"), at.alias("at")).agg(F.min("kind").alias("kind"), F.bool_and(F.col("path").endswith(".parquet")).alias("is_table")).collect()  # one row per folder
+    parts = []
+    for r in folders:
+        rows = spark.read.parquet(f"{root}/{r['at']}") if r["is_table"] else spark.read.text(f"{root}/{r['at']}")
+        parts.append(rows.agg(F.lit(r["folder"]).alias("folder"), F.lit(r["kind"]).alias("kind"), F.count("*").alias("n_rows")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-@query("S6 S7 V2 S13", "SELECT count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents WHERE doc_kind = 'code') WHERE contains(line, 'return null')")
+@query("S6 S7 V2", "SELECT count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents WHERE doc_kind = 'code') WHERE contains(line, 'return null')")
 def literal_engines(spark, d):
     """Lines of written texts found by the engine that is a Python data source."""
     root = stream_folder(spark)
@@ -124,19 +136,12 @@ def literal_engines(spark, d):
 
 @query("S10", "SELECT model AS agent, count(*) AS n, 'run of ' || model AS label FROM task_usage WHERE model <> 'unknown' GROUP BY model UNION ALL SELECT 'unknown', count(*), NULL FROM task_usage WHERE model = 'unknown'")
 def run_folder(spark, d):
-    """A run folder of journals by agent with label sidecars, one of which is missing. Local folders only: files are named by hand."""
-    import json
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="tidemark-run-") if spark.sparkContext.master.startswith("local[") else stream_folder(spark).removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    u = load(spark, d, "task_usage").where("model IS NOT NULL").groupBy("model").agg(F.count("*").alias("n")).collect()  # one row per model
-    for r in u:
-        with open(f"{folder}/agent-{r['model']}.jsonl", "w") as f:
-            f.writelines(json.dumps({"n": 1}) + "\n" for _ in range(r["n"]))
-        if r["model"] != "unknown":
-            with open(f"{folder}/agent-{r['model']}.meta.json", "w") as f:
-                json.dump({"label": f"run of {r['model']}"}, f)
+    """A run folder of journals by agent with label sidecars, one of which is missing."""
+    folder = stream_folder(spark)
+    u = load(spark, d, "task_usage").where("model IS NOT NULL").select(F.col("model").alias("agent"), F.lit(1).cast("long").alias("n"))
+    u.write.partitionBy("agent").json(folder)
+    labels = u.select("agent", F.concat(F.lit("run of "), "agent").alias("label")).distinct().where("agent <> 'unknown'")
+    labels.write.partitionBy("agent").json(f"{folder}/meta")
     entry, meta = T.StructType([T.StructField("n", T.LongType())]), T.StructType([T.StructField("label", T.StringType())])
     return records.read_run(spark, folder, entry, meta).groupBy("agent", "label").agg(F.sum("n").alias("n"))
 

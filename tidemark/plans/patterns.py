@@ -31,7 +31,7 @@ def units(spark, d):
         F.lower(F.translate("name", "_", "")).alias("fp2"), F.concat_ws(":", "kind", mass).alias("fp3"), mass.alias("mass"), "start_line", "end_line")
 
 
-@query("F1 F8 S33", _UNITS + """, x AS (SELECT kind, facet, 1 AS level, fp1 AS fp, path FROM u UNION ALL SELECT kind, facet, 2, fp2, path FROM u UNION ALL SELECT kind, facet, 3, fp3, path FROM u WHERE fp3 IS NOT NULL)
+@query("F1 S33", _UNITS + """, x AS (SELECT kind, facet, 1 AS level, fp1 AS fp, path FROM u UNION ALL SELECT kind, facet, 2, fp2, path FROM u UNION ALL SELECT kind, facet, 3, fp3, path FROM u WHERE fp3 IS NOT NULL)
 SELECT kind, facet, level, fp, count(*) AS n, count(DISTINCT path) AS n_files FROM x GROUP BY ALL HAVING count(DISTINCT path) >= 2""")
 def exact_buckets(spark, d):
     """Equal fingerprints at three levels in two files or more."""

@@ -102,8 +102,10 @@ P4_PATHS = P4_FOUND.replace("SELECT id, root_id, depth FROM tree UNION ALL SELEC
                             "SELECT id, root_id, depth, path FROM tree UNION ALL SELECT id, root_id, CAST(-1 AS BIGINT), NULL FROM looped")
 P4_DESCENDANTS = _SQL_TASKS + """
 pairs AS (SELECT id AS ancestor_id, id, CAST(0 AS BIGINT) AS distance FROM tree
-  UNION ALL SELECT p.ancestor_id, n.id, p.distance + 1 FROM pairs p JOIN nodes n ON n.up = p.id)
-SELECT ancestor_id, id, distance FROM pairs"""
+  UNION ALL SELECT p.ancestor_id, n.id, p.distance + 1 FROM pairs p JOIN nodes n ON n.up = p.id),
+climbs AS (SELECT id, id AS ancestor_id, CAST(0 AS BIGINT) AS distance, [id] AS seen FROM stuck
+  UNION ALL SELECT c.id, s.up, c.distance + 1, list_append(c.seen, s.up) FROM climbs c JOIN stuck s ON s.id = c.ancestor_id WHERE NOT list_contains(c.seen, s.up))
+SELECT ancestor_id, id, distance FROM pairs UNION ALL SELECT ancestor_id, id, distance FROM climbs"""
 
 # ---- problem 5: rolling usage
 

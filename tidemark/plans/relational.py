@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import normalize as N
 from tidemark.operators.joins import as_of, first_of, next_event, overlapping, point_in_interval
 from tidemark.operators.windows import last_n, merge_intervals
+from tidemark.operators.evidence import global_rank
 from tidemark.plans import views as V
 from tidemark.plans.registry import Family
 from tidemark.runtime import load
@@ -200,7 +201,7 @@ def two_step_left_join(spark, d):
     return V.edges(spark, d).join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "src_state", "dst_state")
 
 
-@query("J7 J9 U2 R12", P + """SELECT path FROM (SELECT path FROM x_files WHERE hazard_count > 0 UNION SELECT path FROM x_files WHERE health_score < 80)
+@query("J7 J9 U2", P + """SELECT path FROM (SELECT path FROM x_files WHERE hazard_count > 0 UNION SELECT path FROM x_files WHERE health_score < 80)
 WHERE path NOT IN (SELECT target_path FROM x_tasks WHERE target_path IS NOT NULL AND state IN ('queued', 'in_progress', 'blocked', 'review'))""")
 def unassigned_hazards(spark, d):
     f = V.files(spark, d)
@@ -360,8 +361,8 @@ def board_first_page(spark, d):
 
 @query("O8 O9", P + "SELECT id, row_number() OVER (ORDER BY lower(id), id) AS place FROM x_agents")
 def nocase_order(spark, d):
-    """Directory order without letter case. The table has a fixed few hundred rows, so one window over all is fine."""
-    return V.agents(spark, d).select("id", F.row_number().over(Window.orderBy(F.lower("id"), "id")).cast("long").alias("place"))
+    """Directory order without letter case."""
+    return global_rank(V.agents(spark, d).select("id"), [], [F.lower("id"), F.col("id")], "place")
 
 
 @query("O10 W14 R23", P + """SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY moment, id) AS place FROM x_feed WHERE event_type = 'lock_queued' AND file_path IS NOT NULL AND moment IS NOT NULL""")
@@ -380,7 +381,7 @@ def units_per_file(spark, d, cap: int = 40):
 # ---- sets
 
 
-@query("U4 S19 R20 R34 R40", P + """SELECT handle, id AS last_call, verb FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY moment DESC, id DESC) AS r FROM x_calls WHERE handle IS NOT NULL AND moment IS NOT NULL) WHERE r = 1""")
+@query("U4 S19 R20 R40", P + """SELECT handle, id AS last_call, verb FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY moment DESC, id DESC) AS r FROM x_calls WHERE handle IS NOT NULL AND moment IS NOT NULL) WHERE r = 1""")
 def upsert_latest(spark, d):
     """The last writer of each key wins."""
     c = V.calls(spark, d).where("handle IS NOT NULL AND at IS NOT NULL")

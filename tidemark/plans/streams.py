@@ -17,7 +17,7 @@ query = family.query
 P = V.PRELUDE
 
 
-@query("T3 R61 S24", P + "SELECT id, event_type FROM x_feed WHERE id > 100 AND NOT starts_with(event_type, 'lock_') AND moment IS NOT NULL")
+@query("T3 R61", P + "SELECT id, event_type FROM x_feed WHERE id > 100 AND NOT starts_with(event_type, 'lock_') AND moment IS NOT NULL")
 def tail_stream(spark, d):
     """Posts behind a cursor, each once, appended as they come."""
     return run_available(feeds.tail(stream_table(spark, f"{d}/agent_feed.parquet"), 100).select("id", "event_type"), "append")
@@ -49,7 +49,7 @@ def maxima_stream(spark, d):
     return changes.groupBy("id").agg(F.max_by(F.struct("result_chars", "cf_chars"), "batch_id").alias("m")).select("id", "m.*")
 
 
-@query("T5 T6 T7 T8 R3 R11 R21 R22 R24 R25 R26 R27 R28 R30")
+@query("T5 T6 T7 T8 R11 R21 R25 R26 R27 R28")
 def lease_stream(spark, d):
     """Lease events of the feed's lock requests. Keyed state has no oracle; tested against a plain fold."""
     f = stream_table(spark, f"{d}/agent_feed.parquet").where(F.col("event_type").isin("lock_queued", "lock_acquired", "lock_released"))

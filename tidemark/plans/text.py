@@ -229,7 +229,7 @@ def shared_targets(spark, d):
 # ---- hashes and vectors
 
 
-@query("M1 M2 S3")
+@query("M1 M2")
 def feature_hash(spark, d):
     """Feature-hash vectors of symbol names. 32-bit wrap-around has no oracle; tested against a plain model."""
     s = V.symbols(spark, d).where("name IS NOT NULL").select("name").distinct()

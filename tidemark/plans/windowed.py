@@ -9,6 +9,7 @@ from tidemark.functions import text as X
 from tidemark.operators import windows as W
 from tidemark.operators.joins import first_of
 from tidemark.operators.sessions import sweep_sessions
+from tidemark.operators.evidence import global_rank
 from tidemark.plans import views as V
 from tidemark.plans.registry import Family
 from tidemark.runtime import load
@@ -86,8 +87,9 @@ def trend_delta(spark, d):
 
 
 @query("W11 W12 F2", """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS v, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber)),
-w AS (SELECT l_orderkey, l_linenumber, v, lead(v, 1) OVER x AS a, lead(v, 2) OVER x AS b FROM r WINDOW x AS (PARTITION BY l_orderkey, g ORDER BY l_linenumber))
-SELECT k, window_key, count(*) AS n FROM (SELECT 2 AS k, v || ',' || a AS window_key FROM w WHERE a IS NOT NULL UNION ALL SELECT 3, v || ',' || a || ',' || b FROM w WHERE b IS NOT NULL) GROUP BY k, window_key""")
+w AS (SELECT list(v) OVER (PARTITION BY l_orderkey, g ORDER BY l_linenumber ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS vs FROM r),
+x AS (SELECT unnest(range(2, len(vs) + 1)) AS k, vs FROM w WHERE len(vs) >= 2)
+SELECT CAST(k AS INTEGER) AS k, array_to_string(vs[1:k], ',') AS window_key, count(*) AS n FROM x GROUP BY 1, 2""")
 def k_row_windows(spark, d):
     """How often each sequence of two to six consecutive flags occurs within an order (the least flag of a line number)."""
     rows = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("v"))
@@ -99,7 +101,8 @@ def rank_unfolded(spark, d):
     """Places of tasks in their tier; folded ones (duplicates) get none."""
     t = V.tasks(spark, d).where("total_tokens IS NOT NULL AND tier IS NOT NULL")
     folded = F.col("state") == "duplicate"
-    return t.select("id", F.when(~folded, F.row_number().over(Window.partitionBy("tier", folded).orderBy(F.desc("total_tokens"), "id"))).cast("long").alias("place"))
+    ranked = global_rank(t.where(~folded).select("id", "tier", "total_tokens"), ["tier"], [F.desc("total_tokens"), F.col("id")], "place")
+    return ranked.select("id", "place").unionByName(t.where(folded).select("id", F.lit(None).cast("long").alias("place")))
 
 
 @query("W16 W17 T16", P + """SELECT t.id, arg_max(f.event_type, (f.moment, f.id)) AS light, coalesce(max(f.moment) > any_value(t.updated_at), false) AS is_newer FROM x_tasks t LEFT JOIN x_feed f ON f.task_id = t.id AND f.moment IS NOT NULL GROUP BY t.id""")

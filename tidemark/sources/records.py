@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,21 +29,39 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of a Hadoop glob, sorted."""
+    fs, p = _fs(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+
 def read_run(spark: SparkSession, folder: str, entry_schema: T.StructType, meta_schema: T.StructType) -> DataFrame:
-    """Entries of a run folder (agent-<id>.jsonl) with agent from the file name and the label of agent-<id>.meta.json; a missing label is null."""
-    name = F.regexp_extract(F.input_file_name(), r"agent-([^/.]+)\.[a-z.]*$", 1)
-    entries = spark.read.schema(entry_schema).option("mode", "DROPMALFORMED").json(sorted(glob.glob(f"{folder}/agent-*.jsonl"))).withColumn("agent", name)
-    metas = sorted(glob.glob(f"{folder}/agent-*.meta.json"))
-    if not metas:
-        return entries.withColumn("label", F.lit(None).cast("string"))
-    labels = spark.read.schema(meta_schema).option("multiLine", True).json(metas).withColumn("agent", name).select("agent", "label")
-    return entries.join(labels, "agent", "left")
+    """Entries of a run folder (files agent-<id>.jsonl, or folders agent=<id> as written by agent) with agent from the name and the label of
+    agent-<id>.meta.json or meta/agent=<id>; a missing label is null. Any file system of the session will do."""
+    name = F.regexp_extract(F.input_file_name(), r"agent[-=]([^/]+?)(?:\.jsonl|\.meta\.json)?(?:/[^/]*)?$", 1)
+
+    def rows(schema: T.StructType, patterns: list[str], **options) -> DataFrame:
+        found = [p for g in patterns for p in _matches(spark, f"{folder}/{g}")]
+        if not found:
+            return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("agent", T.StringType())]))
+        # Paths given one by one keep their folders' names out of the schema.
+        return spark.read.schema(schema).options(**options).option("basePath", folder).json(found).withColumn("agent", name)
+
+    entries = rows(entry_schema, ["agent-*.jsonl", "agent=*"], mode="DROPMALFORMED")
+    labels = rows(meta_schema, ["agent-*.meta.json", "meta/agent=*"], multiLine=True)
+    return entries.join(labels.groupBy("agent").agg(*[F.min(f.name).alias(f.name) for f in meta_schema.fields]), "agent", "left")
 
 
 def discover(root: str, name: str, max_depth: int = 4) -> list[str]:
-    """Paths called ``name`` at most ``max_depth`` folders below a root, sorted."""
-    found = [p for k in range(max_depth + 1) for p in glob.glob(os.path.join(root, *["*"] * k, name))]
-    return sorted(set(found))
+    """Paths called ``name`` at most ``max_depth`` folders below a root of any file system of the session, sorted."""
+    spark = SparkSession.active()
+    found = {p for k in range(max_depth + 1) for p in _matches(spark, "/".join([root.rstrip("/"), *["*"] * k, name]))}
+    return sorted(p if ":" in root else p.removeprefix("file:") for p in found)
 
 
 def federated(spark: SparkSession, sources: dict[str, str], schema: T.StructType) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -75,17 +91,21 @@ def from_columnar(spark: SparkSession, columnar: dict, schema: T.StructType | No
     return spark.createDataFrame(rows, schema or columnar["cols"]) if rows or schema else spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columnar["cols"]]))
 
 
-def export_since(df: DataFrame, at: str, cursor_file: str, target: str) -> int:
+def export_since(df: DataFrame, at: str, cursor: str, target: str) -> int:
     """Append rows newer than the stored cursor as markdown list lines and move the cursor; returns the number of rows.
 
-    ``df`` needs kind and note. The cursor moves only after the write succeeded.
+    ``df`` needs kind and note; ``at`` is LONG. ``cursor`` is a small JSON file on any file system of the session, written only after the lines were.
     """
-    cursor = json.load(open(cursor_file))["cursor"] if os.path.exists(cursor_file) else -1
-    fresh = df.where(F.col(at) > cursor)
+    spark = df.sparkSession
+    fs, p = _fs(spark, cursor)
+    seen = spark.read.schema("cursor long").json(cursor).first()["cursor"] if fs.exists(p) else -1
+    fresh = df.where(F.col(at) > seen)
     stats = fresh.agg(F.count("*").alias("n"), F.max(at).alias("last")).first()
     if stats["n"]:
-        line = F.concat(F.lit("- "), F.col("kind"), F.lit(": "), F.regexp_replace("note", r"[\r\n]+", " "))
-        fresh.sort(at).select(line.alias("value")).write.mode("append").text(target)
-        with open(cursor_file, "w") as f:
-            json.dump({"cursor": stats["last"]}, f)
+        # Only what this call counted, should rows arrive meanwhile.
+        line = F.concat(F.lit("- "), F.col("kind"), F.lit(": "), F.regexp_replace(F.coalesce("note", F.lit("")), r"[\r\n]+", " "))
+        fresh.where(F.col(at) <= stats["last"]).sort(at).select(line.alias("value")).write.mode("append").text(target)
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps({"cursor": stats["last"]}).encode()))
+        out.close()
     return stats["n"]

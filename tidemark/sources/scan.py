@@ -12,8 +12,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 import tidemark.runtime  # noqa: F401  lets the data source travel to workers
 
-#: Folders that a scan leaves out at any depth, and how much of a file decides about it.
-IGNORED_DIRS = ["node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".cache"]
+#: Folders that a scan leaves out at any depth, those it leaves out at the top only, and how much of a file decides about it.
+IGNORED_DIRS = [
+    "node_modules", ".git", "vendor", "dist", "coverage", ".claude", ".cursor", ".gemini", ".agents", ".next", ".turbo", ".output", ".nuxt", ".cache",
+    ".svelte-kit", ".pnpm-store", ".yarn",
+]
+ROOT_ONLY_DIRS = ["build", "out", "temp", "tmp", "scratch", "benchmarks", "blueprints"]
 SNIFF_BYTES = 8000
 LARGE_BYTES = 8 * 1024 * 1024
 #: Bytes of a file that one task of the data source reads.
@@ -21,9 +25,9 @@ RANGE_BYTES = 16 * 1024 * 1024
 
 
 def is_ignored(path: Column, root_only: list[str] | None = None) -> Column:
-    """Whether a relative path lies in an ignored folder; ``root_only`` folders count at the top level only."""
+    """Whether a relative path lies in an ignored folder; ``root_only`` folders (by default ROOT_ONLY_DIRS) count at the top level only."""
     anywhere = path.rlike("(^|/)(" + "|".join(re.escape(d) for d in IGNORED_DIRS) + ")/")
-    for d in root_only or []:
+    for d in ROOT_ONLY_DIRS if root_only is None else root_only:
         anywhere = anywhere | path.startswith(d + "/")
     return anywhere
 
@@ -153,6 +157,25 @@ register_engine("native", _native)
 register_engine("datasource", _data_source)
 
 
+# ---- index records
+
+_IMPORT = r"(?m)^\s*(?:import\s.*?from\s+['\"]([^'\"]+)['\"]|import\s+['\"]([^'\"]+)['\"]|from\s+(\S+)\s+import\b)"
+_HOOK = r"\b(use[A-Z]\w*)\s*\("
+
+
+def index_records(files: DataFrame) -> DataFrame:
+    """One record for each file of ``files`` (path, text): path, size (bytes of UTF-8), lines (breaks), chars (code points), sha1, and the names in it by form.
+
+    Names, each once, in order of appearance: symbols, imports (module specifiers) and hooks. A null text has no record. All of it runs in the JVM.
+    """
+    t = F.col("text")
+    every = lambda pattern, *groups: F.array_distinct(F.filter(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in groups])), lambda x: x != ""))
+    symbols = "(?m)" + _SYMBOL.pattern
+    return files.where("text IS NOT NULL").select(
+        "path", F.octet_length(t).cast("long").alias("size"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("lines"), F.length(t).cast("long").alias("chars"), F.sha1(F.encode(t, "UTF-8")).alias("sha1"),
+        every(symbols, 2, 3, 5).alias("symbols"), every(_IMPORT, 1, 2, 3).alias("imports"), every(_HOOK, 1).alias("hooks"))
+
+
 # ---- symbol extraction
 
 _SYMBOL = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(function|class)\s+([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=|(def)\s+([A-Za-z_]\w*))")
