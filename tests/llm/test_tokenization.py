@@ -34,6 +34,12 @@ def test_hot_and_cold_words_give_the_same(spark, tokenizer, share):
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
 
 
+def test_positions_beyond_the_packed_range(spark, tokenizer):
+    text = "a b antidisestablishmentarianism " * 15_000
+    got = encode_corpus(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["ids"]
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_rows_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "z"), (2, None), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: len(r["ids"]) for r in encode_corpus(df).collect()}

@@ -94,15 +94,18 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, hot_share: flo
     cold = seen.where("width IS NULL AND word IS NOT NULL").select("doc_id", "pos", "word")
     placed = placed.unionByName(cold.join(vocab.where(~is_hot).select("word", *coded), "word").select("doc_id", "pos", *coded))
     pos = F.col("pos").cast("long")
+    one = pos * _SMALL + F.col("code")
+    early = F.col("pos") < _SMALL // 2  # then position and id fit into 31 bits
     ordered = placed.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("width") == 1, pos * _SMALL + F.col("code"))).alias("ones"),
+        F.collect_list(F.when((F.col("width") == 1) & early, one.cast("int"))).alias("firsts"),
+        F.collect_list(F.when((F.col("width") == 1) & ~early, one)).alias("ones"),
         F.collect_list(F.when(F.col("width") == 2, pos * (_SMALL * _SMALL) + F.col("code"))).alias("twos"),
         F.collect_list(F.when(F.col("width") == 0, F.struct(pos.alias("pos"), "ids"))).alias("more"),
     )
     high, low = lambda v: F.shiftright(v, 16), lambda v: v.bitwiseAND(F.lit(_SMALL - 1)).cast("int")
-    one = F.transform("ones", lambda v: F.struct(high(v).alias("pos"), F.array(low(v)).alias("ids")))
+    single = lambda c: F.transform(c, lambda v: F.struct(high(v).cast("long").alias("pos"), F.array(low(v)).alias("ids")))
     two = F.transform("twos", lambda v: F.struct(high(high(v)).alias("pos"), F.array(low(high(v)), low(v)).alias("ids")))
-    parts = ordered.select("doc_id", F.array_sort(F.concat(one, two, "more")).alias("parts"))
+    parts = ordered.select("doc_id", F.array_sort(F.concat(single("firsts"), single("ones"), two, "more")).alias("parts"))
     # Repeated rows of a document bring a position twice, side by side.
     fresh = F.filter("parts", lambda p, i: (i == 0) | (p["pos"] != F.get("parts", i - 1)["pos"]))
     return parts.select("doc_id", F.flatten(F.transform(fresh, lambda p: p["ids"])).alias("ids"))
