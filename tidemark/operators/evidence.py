@@ -49,8 +49,9 @@ def score_summary(scored: DataFrame, items: DataFrame) -> DataFrame:
     groups = verdict.agg(F.count_if(good).alias("n_true"), F.count_if(~good & bad).alias("n_false"))
     n = items.where("class = 'A'").agg(F.count_distinct("item_id").alias("n_items"))
     ratio = lambda x, of: F.when(of > 0, x / of)
-    # Three single rows side by side.
-    out = n.crossJoin(best).crossJoin(groups)
+    # Three single rows laid over one another.
+    out = n.unionByName(best, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
+    out = out.agg(*[F.max(c).alias(c) for c in ("n_items", "credit", "n_true", "n_false")])
     return out.select("n_items", "credit", ratio(F.col("credit"), F.col("n_items")).alias("recall"), "n_true", "n_false", ratio(F.col("n_true"), F.col("n_true") + F.col("n_false")).alias("precision"))
 
 

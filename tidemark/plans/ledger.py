@@ -228,8 +228,8 @@ def resolve_since(raw: str | float | None, now: F.Column) -> F.Column:
 def events_since_midnight(spark, d, since: str | None = None):
     """Events by type since ``since``, or since the local midnight before the latest one."""
     f = V.feed(spark, d)
-    start = F.broadcast(f.agg(resolve_since(since, F.max("at")).alias("since")))  # a single row
-    return f.crossJoin(start).where("at >= since").groupBy("event_type").agg(F.count("*").alias("n"))
+    start = f.agg(resolve_since(since, F.max("at")).alias("since")).scalar()
+    return f.where(F.col("at") >= start).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("V7", P + "SELECT file_path, start_line AS line FROM x_symbols WHERE name = (SELECT min(name) FROM x_symbols) AND file_path IS NOT NULL")
