@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidemark.operators import hierarchy as H
 from tidemark.operators.hierarchy import all_descendants, descendants, resolve_hierarchy
 
 
@@ -104,3 +108,34 @@ FROM agent_tasks WHERE id IS NOT NULL) WHERE k = 1) SELECT h.id, p.id FROM held
 def test_against_walk(spark, known):
     links = list(known.items())
     assert {x["id"]: (x["root_id"], x["depth"]) for x in run(spark, links).collect()} == plain(links)
+
+
+def tangled(n=60):
+    """Trees, a long chain, self-parents, loops of two and five with long tails, and dangling parents."""
+    pick = random.Random(5)
+    known = {i: pick.choice([None, 999, pick.randrange(1, n)]) for i in range(1, n)}
+    known |= {100 + i: 99 + i for i in range(1, 40)} | {100: None, 200: 200, 201: 200, 300: 301, 301: 300}
+    known |= {400 + i: 400 + (i + 1) % 5 for i in range(5)} | {405 + i: (404 + i if i else 402) for i in range(30)}
+    return known
+
+
+@pytest.mark.parametrize("limit", [0, 25, 10**6])
+def test_rounds_and_one_task_agree(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "IN_ONE_TASK", limit)
+    known = tangled()
+    assert {x["id"]: (x["root_id"], x["depth"]) for x in run(spark, list(known.items())).collect()} == plain(known.items())
+    weighted = spark.createDataFrame([(i, p, i % 7) for i, p in known.items()], "id long, parent_id long, w long")
+    got = {x["id"]: x["depth"] for x in resolve_hierarchy(weighted, weight="w").where("depth >= 0").collect()}
+    far = lambda i: 0 if known[i] not in known else i % 7 + far(known[i])
+    assert got == {i: far(i) for i, (_, depth) in plain(known.items()).items() if depth >= 0}
+
+
+@pytest.mark.parametrize("limit,most", [(0, 10), (10**6, 2)])
+def test_many_small_loops_take_no_more_rounds(spark, monkeypatch, limit, most):
+    monkeypatch.setattr(H, "IN_ONE_TASK", limit)
+    cuts = []
+    for name in ("cut", "cut_counting"):
+        monkeypatch.setattr(H, name, lambda *a, f=getattr(H, name): cuts.append(1) or f(*a))
+    known = {i: i ^ 1 for i in range(1000, 3000)} | {1: None, 2: 1, 3: 2}
+    got = {x["id"]: (x["root_id"], x["depth"]) for x in run(spark, list(known.items())).collect()}
+    assert got == plain(known.items()) and len(cuts) <= most

@@ -1,19 +1,101 @@
 """Full hierarchies from parent-child links by pointer doubling.
 
 Each unresolved node points at an ancestor; a round lets every such pointer jump to its target's own pointer, so
-the jump doubles. Resolved nodes leave the loop; only the unresolved ones are joined again. What stays unresolved
-after a number of rounds logarithmic in the unresolved nodes lies on a loop or below one.
+the jump doubles. Resolved nodes leave the loop; only the unresolved ones are joined again. What is unresolved after a
+round that resolved nothing lies on a loop or below one. The driver keeps the plan of every round, so what fits in one
+task is walked there at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.runtime import cut, cut_counting, require_columns
 
+#: Up to so many links are walked in one task, in flat arrays of numbers; of more, rounds over all tasks resolve the rest first.
+IN_ONE_TASK = 1_000_000
+
+
+def _rings(up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows that point at rows (-1: at none): the row reached beyond any tail, -1 where the walk ends; the rows on loops; the first row of each of their loops."""
+    ptr, live = up.copy(), up >= 0
+    left = np.count_nonzero(live)
+    while left:
+        ptr = np.where(live, ptr[ptr], -1)
+        live, before = ptr >= 0, left
+        left = np.count_nonzero(live)
+        # A walk that ends later has an ancestor whose walk ended in this round.
+        if left == before:
+            break
+    ring, low = np.unique(ptr[live]), np.arange(len(up))
+    while len(np.unique(up[ring])) < len(ring):
+        ptr[live] = ptr[ptr[live]]
+        ring = np.unique(ptr[live])
+    ahead, span = up.copy(), 1
+    while span < len(ring):
+        low[ring] = np.minimum(low[ring], low[ahead[ring]])
+        ahead[ring] = ahead[ahead[ring]]
+        span *= 2
+    return ptr, ring, low
+
+
+def _links(batches: Iterable[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray] | None:
+    """Rows (id, up, ...) by id, the ids, and where the row of each `up` is (-1: nowhere)."""
+    found = list(batches)
+    if not found:
+        return None
+    t = pa.Table.from_batches(found).sort_by("id")
+    ids, up = t["id"].to_numpy(), t["up"]
+    target = up.fill_null(0).to_numpy()
+    at = np.minimum(np.searchsorted(ids, target), max(len(ids) - 1, 0))
+    return t, ids, np.where((ids[at] == target) & up.is_valid().to_numpy(), at, -1) if len(ids) else at
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, up, far), up never null: the first ancestor that is no row and how far it is, or the smallest id of the loop and whether the node is on it."""
+    if (read := _links(batches)) is None:
+        return
+    t, ids, up = read
+    over, ring, low = _rings(up)
+    looped, on = over >= 0, np.zeros(len(ids), bool)
+    on[ring] = True
+    ptr, last, steps = np.where(looped, -1, up), np.arange(len(ids)), t["far"].fill_null(0).to_numpy().copy()
+    unknown = t["far"].is_null().to_numpy().copy()
+    while (live := ptr >= 0).any():
+        to = ptr[live]
+        steps[live] += steps[to]
+        unknown[live] |= unknown[to]
+        last[live], ptr[live] = last[to], ptr[to]
+    yield from pa.table({
+        "id": pa.array(ids), "up": pa.array(t["up"].to_numpy()[last], mask=looped), "steps": pa.array(steps, mask=looped | unknown),
+        "root_id": pa.array(ids[low[over]], mask=~looped), "ring": pa.array(on),
+    }).to_batches(max_chunksize=100_000)
+
+
+def _count_below(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, up): ancestor_id and n_below."""
+    if (read := _links(batches)) is None:
+        return
+    _, ids, up = read
+    _, ring, low = _rings(up)
+    n, ptr = np.ones(len(ids), np.int64), up.copy()
+    ptr[ring] = -1
+    while (live := ptr >= 0).any():
+        more = n[live]
+        np.add.at(n, ptr[live], more)
+        ptr[live] = ptr[ptr[live]]
+    # Whatever is below one node of a loop is below all of them.
+    whole = np.zeros(len(ids), np.int64)
+    np.add.at(whole, low[ring], n[ring])
+    n[ring] = whole[low[ring]]
+    yield from pa.table({"ancestor_id": pa.array(ids), "n_below": pa.array(n - 1)}).to_batches(max_chunksize=100_000)
+
 
 def _lookup(pieces: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces)
@@ -30,6 +112,11 @@ def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False, weight: str |
     Result: id, root_id, depth LONG and, with paths, path ARRAY<LONG> from the root to the node. The size of all paths is
     the sum of depths, so ask for paths only where they are needed.
     """
+    return _resolved(nodes, with_paths, weight).drop("ring")
+
+
+def _resolved(nodes: DataFrame, with_paths: bool = False, weight: str | None = None) -> DataFrame:
+    """As ``resolve_hierarchy``, with a column ring: whether the node is on a loop."""
     require_columns(nodes, ["id", "parent_id", *[weight] * bool(weight)])
     far = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     own = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id"), far.alias("far")).where("id IS NOT NULL")
@@ -37,16 +124,22 @@ def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False, weight: str |
     own = own.groupBy("id").agg(F.min("parent_id").alias("parent_id"), F.min_by("far", F.struct("parent_id", "far")).alias("far"))
     names = own.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
     linked = own.join(names, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "far")
-    # path: the ids after the ancestor `up`, down to the node itself.
-    seg = [F.array("id").alias("path")] if with_paths else []
+    # path: the ids after the ancestor `up`, down to the node itself. Without paths, the link itself stays at hand.
+    kept = ["path"] if with_paths else ["parent_id", "far"]
+    seg = [F.array("id").alias("path")] if with_paths else [F.col("up").alias("parent_id"), "far"]
     start, left = cut_counting(linked.select("id", "up", F.col("far").alias("steps"), *seg), F.col("up").isNotNull())
     paths = ["path"] if with_paths else []
     done = [start.where("up IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), *paths)]
     open_ = start.where("up IS NOT NULL")
-    rounds = 0
     while left:
         # Resolved targets first: they end the walk. Unresolved ones lend their pointer.
         ends = _lookup(done).select(F.col("id").alias("up"), "root_id", "depth", *[F.col("path").alias("head") for _ in paths])
+        if not with_paths and left <= IN_ONE_TASK:
+            links = open_.select("id", F.col("parent_id").alias("up"), "far").coalesce(1)
+            walked = cut(links.mapInArrow(_walk, "id long, up long, steps long, root_id long, ring boolean"))
+            done.append(walked.where("up IS NOT NULL").select("id", "up", "steps").join(ends, "up").select("id", "root_id", (F.col("depth") + F.col("steps")).alias("depth")))
+            looped = walked.where("up IS NULL").select("id", "root_id", F.lit(-1).cast("long").alias("depth"), "ring")
+            return _lookup(done).withColumn("ring", F.lit(False)).unionByName(looped)
         hops = open_.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), *[F.col("path").alias("mid") for _ in paths])
         both = ends.withColumns({"next": F.lit(None).cast("long"), "more": F.lit(None).cast("long"), **({"mid": F.lit(None).cast("array<long>")} if paths else {})}).unionByName(
             hops.withColumns({"root_id": F.lit(None).cast("long"), "depth": F.lit(None).cast("long"), **({"head": F.lit(None).cast("array<long>")} if paths else {})})
@@ -56,27 +149,32 @@ def resolve_hierarchy(nodes: DataFrame, with_paths: bool = False, weight: str |
             open_.join(both, "up").select(
                 "id", "root_id", "next",
                 (F.col("depth") + F.col("steps")).alias("depth"), (F.col("more") + F.col("steps")).alias("steps"),
-                *[F.concat(F.coalesce("head", "mid"), "path").alias("path") for _ in paths],
+                *([F.concat(F.coalesce("head", "mid"), "path").alias("path")] if paths else kept),
             ),
             F.col("root_id").isNull(),
         )
-        done.append(moved.where("root_id IS NOT NULL").select("id", "root_id", "depth", *paths))
-        open_ = moved.where("root_id IS NULL").select("id", F.col("next").alias("up"), "steps", *paths)
-        rounds += 1
-        # A walk without a loop that is unresolved now has more than 2^rounds ancestors, all but 2^rounds of which are
-        # unresolved as well. So with no more unresolved nodes before than steps made, only loops are left.
-        if left and before <= 2 ** (rounds - 1):
+        open_ = moved.where("root_id IS NULL").select("id", F.col("next").alias("up"), "steps", *kept)
+        # A round resolves the depths from its jump to just below twice that. A deeper node has an ancestor at the depth of the
+        # jump, so where none was resolved only loops are left.
+        if left == before:
             break
-    resolved = _lookup(done)
+        done.append(moved.where("root_id IS NOT NULL").select("id", "root_id", "depth", *paths))
+    resolved = _lookup(done).withColumn("ring", F.lit(False))
     if not left:
         return resolved
     return resolved.unionByName(_loops(open_, start).withColumns({p: F.lit(None).cast("array<long>") for p in paths}))
 
 
 def _loops(open_: DataFrame, start: DataFrame) -> DataFrame:
-    """Depth -1 and the loop's smallest id for nodes whose pointer has walked at least as many steps as there are open nodes."""
-    # After that many steps each pointer stands on a loop, and every loop node is some pointer's target.
-    ring, size = cut_counting(open_.select(F.col("up").alias("id")).distinct().join(start.select("id", "up"), "id").select("id", "up", F.col("id").alias("low")), F.lit(True))
+    """Depth -1, the loop's smallest id and whether they are on it for nodes whose walks never end."""
+    links = start.select("id", "up")
+    while True:
+        # Tails end within the doubled steps; once as many nodes are pointed at from the targets as there are, the targets are the loops.
+        ring, size = cut_counting(open_.select(F.col("up").alias("id")).distinct().join(links, "id").select("id", "up", F.col("id").alias("low")), F.lit(True))
+        if ring.select("up").distinct().count() == size:
+            break
+        hops = open_.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        open_ = cut(open_.select("id", "up").join(hops, "up").select("id", F.col("next").alias("up")))
     span, changed = 1, 1
     while span < size and changed:
         # Once windows of the doubled length found nothing smaller anywhere, every loop has seen its smallest id.
@@ -85,7 +183,37 @@ def _loops(open_: DataFrame, start: DataFrame) -> DataFrame:
         ring, changed = cut_counting(moved, F.col("less"))
         span *= 2
     low = ring.select(F.col("id").alias("up"), F.col("low").alias("root_id"))
-    return open_.join(low, "up").select("id", "root_id", F.lit(-1).cast("long").alias("depth"))
+    found = open_.select("id", "up").join(low, "up").select("id", "root_id", F.lit(-1).cast("long").alias("depth"))
+    return found.join(ring.select("id", F.lit(True).alias("on")), "id", "left").select("id", "root_id", "depth", F.coalesce("on", F.lit(False)).alias("ring"))
+
+
+def descendant_counts(nodes: DataFrame) -> DataFrame:
+    """Number of descendants, ancestor_id and n_below, of every node of ``nodes`` (id, parent_id), without its pairs.
+
+    Links as in ``resolve_hierarchy``. A node on a loop has all other nodes on and below the loop as descendants. Sums travel up jumps
+    that double: a node hands what it has counted so far to the ancestor just beyond.
+    """
+    require_columns(nodes, ["id", "parent_id"])
+    own = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent_id").cast("long").alias("parent_id")).where("id IS NOT NULL")
+    own, size = cut_counting(own.groupBy("id").agg(F.min("parent_id").alias("parent_id")), F.lit(True))
+    if size <= IN_ONE_TASK:
+        return own.select("id", F.col("parent_id").alias("up")).coalesce(1).mapInArrow(_count_below, "ancestor_id long, n_below long")
+    ring = cut(_resolved(own).where("ring").select("id", "root_id"))
+    known = own.select(F.col("id").alias("up"))
+    open_ = own.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("n")).join(known, "up", "left_semi").join(ring, "id", "left_anti")
+    open_, left = cut_counting(open_.select("id", "up", "n"), F.lit(True))
+    none = F.lit(0).cast("long")
+    got = []
+    while left:
+        handed = open_.select("id", "up", "n", none.alias("more")).unionByName(open_.select(F.col("up").alias("id"), F.lit(None).cast("long").alias("up"), "n", F.col("n").alias("more")))
+        sums = cut(handed.groupBy("id").agg(F.max("up").alias("up"), F.sum("n").alias("n"), F.sum("more").alias("more")))
+        got.append(sums.where("more > 0").select("id", "more"))
+        still = sums.where("up IS NOT NULL")
+        open_, left = cut_counting(still.select("id", "up", "n").join(still.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up"), "n"), F.lit(True))
+    parts = [own.select("id", none.alias("more")), *got]
+    below = _lookup(parts).groupBy("id").agg(F.sum("more").alias("n")).join(ring, "id", "left")
+    whole = below.where("root_id IS NOT NULL").groupBy("root_id").agg((F.sum(F.col("n") + 1) - 1).alias("whole"))
+    return below.join(whole, "root_id", "left").select(F.col("id").alias("ancestor_id"), F.coalesce("whole", "n").alias("n_below"))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
