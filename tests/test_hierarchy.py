@@ -139,3 +139,19 @@ def test_many_small_loops_take_no_more_rounds(spark, monkeypatch, limit, most):
     known = {i: i ^ 1 for i in range(1000, 3000)} | {1: None, 2: 1, 3: 2}
     got = {x["id"]: (x["root_id"], x["depth"]) for x in run(spark, list(known.items())).collect()}
     assert got == plain(known.items()) and len(cuts) <= most
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_descendant_counts_without_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "IN_ONE_TASK", limit)
+    known = tangled()
+    want = dict.fromkeys(known, -1)
+    for a, _, _ in walked_pairs(known):
+        want[a] += 1
+    # A chain of 3,000 has 4.5 million pairs and 3,000 counts.
+    known |= {10_000 + i: 9_999 + i for i in range(1, 3000)} | {10_000: None}
+    want |= {10_000 + i: 2999 - i for i in range(3000)}
+    monkeypatch.setattr(H, "all_descendants", None)
+    nodes = spark.createDataFrame(list(known.items()), "id long, parent_id long")
+    assert {r["ancestor_id"]: r["n_below"] for r in H.descendant_counts(nodes).collect()} == want
+    assert H.descendant_counts(nodes.limit(0)).collect() == []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
-from tidemark.operators.hierarchy import all_descendants, resolve_hierarchy
+from tidemark.operators.hierarchy import descendant_counts as counts_below
+from tidemark.operators.hierarchy import resolve_hierarchy
 from tidemark.operators.joins import first_of
 from tidemark.plans import views as V
 from tidemark.plans.registry import Family
@@ -145,7 +146,7 @@ climbs AS (SELECT id, id AS top, [id] AS seen FROM n UNION ALL SELECT c.id, n.up
 SELECT top, count(*) - 1 AS n_below FROM climbs GROUP BY top""")
 def descendant_counts(spark, d):
     t = V.tasks(spark, d).select("id", F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("parent_id"))
-    return all_descendants(t).groupBy(F.col("ancestor_id").alias("top")).agg((F.count("*") - 1).alias("n_below"))
+    return counts_below(t).select(F.col("ancestor_id").alias("top"), "n_below")
 
 
 @query("G15 G16", P + """, e AS (SELECT src, dst FROM x_edges UNION SELECT dst, src FROM x_edges), r AS (SELECT DISTINCT src AS node, src AS reached FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reached)
