@@ -157,3 +157,23 @@ def test_accounting_ceil_of_sum(spark):
                               "verb string, result_chars long, cf_kind string, cf_chars long, cf_calls long")
     r = S.account_calls(c, ["verb"]).first()
     assert (r["n_calls"], r["n_measured"], r["overhead_tokens"], r["gross_saved"], r["unmeasured_tokens"], r["net_saved"], r["avoided"], r["is_thin"]) == (4, 2, 3, 1, 2, -1, 2, True)
+
+
+@pytest.mark.parametrize("limit,most", [(0, 24), (20, 24), (10**6, 1)])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, limit, most):
+    cuts, pick = [], random.Random(3)
+    monkeypatch.setattr(G, "IN_ONE_TASK", limit)
+    for name in ("cut", "cut_counting"):
+        monkeypatch.setattr(G, name, lambda *a, f=getattr(G, name): cuts.append(1) or f(*a))
+    # A chain, a star around its largest node, a sparse tangle, a node by itself, pairs, repeats and null ends.
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(999, 500 + i) for i in range(40)] + [(pick.randrange(1000, 1080), pick.randrange(1000, 1080)) for _ in range(60)]
+    pairs += [(7, 7), (8, 9), (9, 8), (8, 9), (10, 10), (10, 11)]
+    want: dict = {}
+    for a, b in pairs:
+        joined = want.get(a, {a}) | want.get(b, {b})
+        want |= dict.fromkeys(joined, joined)
+    got = G.components(spark.createDataFrame(pairs + [(None, 1), (2, None)], "src long, dst long"))
+    assert rows(got) == sorted([(i, min(s)) for i, s in want.items()], key=repr) and len(cuts) <= most
+    named = spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "x")], "src string, dst string")
+    assert rows(G.components(named)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
+    assert G.components(named.limit(0)).collect() == []

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import cut
+from tidemark.runtime import cut, cut_counting
+
+#: Up to so many links are joined in one task, in flat arrays; more are contracted by rounds over all tasks first.
+IN_ONE_TASK = 1_000_000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -41,25 +47,50 @@ def chains(reached: DataFrame, max_depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst): node and the smallest node of its component."""
+    found = list(batches)
+    if not found:
+        return
+    t = pa.Table.from_batches(found)
+    names, ends = np.unique(np.concatenate([t["src"].to_numpy(), t["dst"].to_numpy()]), return_inverse=True)
+    a, b, top = ends[: len(t)], ends[len(t) :], np.arange(len(names))
+    while len(a):
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top != (up := top[top])).any():
+            top = up
+        a, b = top[a], top[b]
+        a, b = a[differ := a != b], b[differ]
+    kind = t.schema.field("src").type
+    yield from pa.table({"node": pa.array(names, kind), "component": pa.array(names[top], kind)}).to_batches(max_chunksize=100_000)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (src, dst): node, component (smallest node id in it).
 
-    Labels shrink to the smallest label among neighbours, then every node takes the label of its label (a jump), so long chains
-    need few rounds. Only minima are aggregated, never neighbour lists. Null ends are ignored.
+    Every node hooks on to its smallest neighbour where that is smaller, pointers jump to the end, and each tree becomes one node. Two such
+    rounds halve the nodes at least. Links that fit in one task are joined there. Only minima are aggregated, never neighbour lists. Null
+    ends are ignored.
     """
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
-    both = cut(e.union(e.select("dst", "src")).where("src <> dst").distinct())
-    labels = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        # The label is a node of the same component: take over its label, too.
-        hop = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        moved = cut(low.join(hop, "low", "left").select("node", F.least("low", "next").alias("component"), "was"))
-        labels = moved.select("node", "component")
-        if moved.where("component <> was").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    pairs, n = cut_counting(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), F.lit(True))
+    kind = pairs.schema["src"].dataType.simpleString()
+    left, trees = pairs, []
+    while n > IN_ONE_TASK:
+        both = left.union(left.select("dst", "src"))
+        tree = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("to")))
+        moved = 1
+        while moved:
+            hop = tree.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            tree, moved = cut_counting(tree.join(hop, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), F.col("moved"))
+        trees.append(tree)
+        low, high = tree.select(F.col("node").alias("src"), F.col("to").alias("a")), tree.select(F.col("node").alias("dst"), F.col("to").alias("b"))
+        joined = left.join(low, "src").join(high, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+        left, n = cut_counting(joined.distinct(), F.lit(True))
+    out = left.coalesce(1).mapInArrow(_join_up, f"node {kind}, component {kind}")
+    for tree in reversed(trees):
+        out = tree.join(out.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return out
 
 
 def path_tree(paths: DataFrame, column: str) -> DataFrame:
