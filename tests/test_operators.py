@@ -177,3 +177,35 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch, limit, most):
     named = spark.createDataFrame([("b", "c"), ("a", "c"), ("x", "x")], "src string, dst string")
     assert rows(G.components(named)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
     assert G.components(named.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_set_similarity_against_all_pairs(spark, threshold):
+    pick = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    base = [pick.sample(words, n) for n in (1, 2, 5, 8, 10, 12, 17, 20, 25, 30, 45)]
+    sets = {}
+    for b in base * 9:
+        s = set(b)
+        for _ in range(pick.randrange(4)):
+            s ^= {pick.choice(words)}
+        sets[len(sets)] = s
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    c = sorted((i, s) for s, i in first.items() if s)
+    want = {(i, j) for i, a in c for j, b in c if i < j and len(a & b) >= threshold * len(a | b) - 1e-9}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<string>")
+    _, links = set_similarity(df, threshold)
+    assert {(r["class_a"], r["class_b"]) for r in links.collect()} == want and want
+
+
+def test_set_similarity_writes_few_candidates(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    # Any two sets of a tenth share their two rarest items, and hardly a pair is similar.
+    sets = [(i, [f"r{i % 10}", f"q{i % 10}"] + [f"c{j}" for j in pick.sample(range(40), 8)]) for pick in [random.Random(7)] for i in range(600)]
+    found = []
+    monkeypatch.setattr(similarity, "_candidates", lambda *a, f=similarity._candidates: found.append(f(*a)) or found[-1])
+    _, links = set_similarity(spark.createDataFrame(sets, "id long, items array<string>"), 0.8)
+    assert found[0].count() <= links.count() + 60

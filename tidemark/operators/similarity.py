@@ -3,37 +3,60 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.runtime import cut
 
+#: Common items that make a key, by the items (of both together) that two similar sets of their sizes may differ in: more for few.
+COMMON = {3: 6, 2: 12}
+
+
+def _picks(k: int) -> Column:
+    """By length, all ways to pick ``k`` of so many first places, each as one number of four bits a place."""
+    return F.lit([[sum(i << 4 * j for j, i in enumerate(c)) for c in combinations(range(n), k)] or [0] for n in range(COMMON[k] + k + 1)])
+
+
+def _candidates(sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of ``sketches`` (class_id, n, bits, r: hashes of the items from the rarest) that may be similar, all that are among them."""
+    sizes = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))
+    shared = F.ceil((F.col("n") + F.col("m")) * ((threshold - 1e-12) / (1 + threshold)) - 1e-9).cast("int")
+    keyed = sketches.withColumn("m", F.explode(sizes)).withColumn("shared", shared).where("m > 0 AND shared <= n AND shared <= m").withColumn("differ", F.col("n") + F.col("m") - 2 * F.col("shared"))
+    k = F.least("shared", F.when(F.col("differ") <= COMMON[3], 3).when(F.col("differ") <= COMMON[2], 2).otherwise(1))
+    keyed = keyed.withColumn("k", k).withColumn("places", F.col("n") - F.col("shared") + F.col("k"))
+    picks = F.when(F.col("k") == 3, F.get(_picks(3), F.col("places"))).when(F.col("k") == 2, F.get(_picks(2), F.col("places"))).otherwise(F.sequence(F.lit(0), F.col("places") - 1))
+    keyed = keyed.withColumn("pick", F.explode(picks))
+    place = lambda j: F.get("r", F.when(F.col("k") == 1, F.col("pick")).otherwise(F.shiftright("pick", 4 * j).bitwiseAND(15)) if j == 0 else F.when(F.col("k") > j, F.shiftright("pick", 4 * j).bitwiseAND(15)))
+    key = F.xxhash64(F.least("n", "m"), F.greatest("n", "m"), place(0), place(1), place(2)).bitwiseAND((1 << 44) - 1)
+    small = keyed.where("n <= m").select(key.alias("key"), F.col("class_id").alias("a"), F.col("bits").alias("bits_a"), "differ", (F.col("n") == F.col("m")).alias("even"))
+    large = keyed.where("n >= m").select(key.alias("key"), F.col("class_id").alias("b"), F.col("bits").alias("bits_b"))
+    near = small.join(large, "key").where((F.col("a") != F.col("b")) & (~F.col("even") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("differ")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
 def set_similarity(sets: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``sets`` (id, items ARRAY<STRING>).
 
     Equal sets form one class: classes has id and class_id (smallest id). links has class_a < class_b and jaccard of all pairs of different
-    sets with a Jaccard similarity of at least ``threshold``; members of a class share its links. Items are ordered from the rarest; two
-    similar sets share an item among the first n - ceil(t*n) + 1 and have sizes within the threshold, so pairs are sought only within
-    (item, size) and no frequent item joins. Null and empty sets belong to a class but have no links.
+    sets with a Jaccard similarity of at least ``threshold``; members of a class share its links. Items are ordered from the rarest. Two
+    sizes say how many items similar sets share at least, and so how many each may lack; their first k common items are then among the
+    first k of each beyond those. Every such choice of k is a key of the two sizes, and within a key pairs are kept whose sketches of 31
+    bits differ in no more bits than the sets may in items, so that hardly any others are written. Null and empty sets belong to a class but have no links.
     """
     own = sets.select("id", F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))).alias("items"))
-    classes = cut(own.groupBy("items").agg(F.min("id").alias("class_id"), F.count("*").alias("n_members")))
-    members = own.join(classes.select("items", "class_id"), "items").select("id", "class_id")
-    items = classes.where(F.size("items") > 0).select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    classes = own.groupBy("items").agg(F.min("id").alias("class_id"))
+    members = own.join(classes, "items").select("id", "class_id")
+    items = classes.where(F.size("items") > 0).select("class_id", F.explode("items").alias("item"))
     rarity = items.groupBy("item").agg(F.count("*").alias("freq"))
-    ranked = items.join(rarity, "item").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "item"))).alias("r"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = cut(ranked.select("class_id", "n", F.explode(F.slice("r", 1, keep)).alias("x")).select("class_id", "n", "x.item"))
-    small = prefix.select("item", F.col("n").alias("size"), F.col("class_id").alias("a"))
-    sizes = F.sequence(F.ceil(F.col("n") * threshold).cast("int"), F.col("n"))
-    large = prefix.select("item", F.col("n").alias("n_b"), F.col("class_id").alias("b"), F.explode(sizes).alias("size"))
-    pairs = small.join(large, ["item", "size"]).where("a <> b AND (size < n_b OR a < b)").select("a", "b").distinct()
-    sets_ = classes.select("class_id", "items")
-    pairs = pairs.join(sets_.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a").join(sets_.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
+    ranked = items.join(rarity, "item").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("freq", "item", F.hash("item").alias("h")))).alias("r")).select("class_id", F.col("r.h").alias("r"))
+    bits = F.aggregate("r", F.lit(0), lambda x, h: x.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.pmod(h, F.lit(31)))))
+    sketches = cut(ranked.select("class_id", F.size("r").alias("n"), bits.alias("bits"), "r"))
+    pairs = _candidates(sketches, threshold)
+    pairs = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    scored = pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), (same / (F.size("x") + F.size("y") - same)).alias("jaccard"))
+    scored = pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), (same / (F.size("x") + F.size("y") - same)).alias("jaccard"))
     return members, scored.where(F.col("jaccard") >= threshold - 1e-12)
 
 
