@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.runtime import cut
 
 #: Common items that make a key, by the items (of both together) that two similar sets of their sizes may differ in: more for few.
-COMMON = {3: 6, 2: 12}
+COMMON = {3: 0, 2: 0}
 
 
 def _picks(k: int) -> Column:
